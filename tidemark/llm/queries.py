@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, ngram_join
+from . import bpe, decontaminate, kneser_ney, ngram_join, pseudonyms
 from .session import read_table
 
 
@@ -12,10 +13,24 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read_table(spark, sf_dir, "documents"))
 
 
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return pseudonyms.pseudonymise(docs, kinds="kinds")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op9_byte_level_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    ranks = bpe.load_ranks(public_tokenizers.path(vocabulary))
+    return bpe.encode(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.scan(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op5_pii_pseudonyms, op8_quality_classifier, op9_byte_level_bpe, op10_benchmark_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
