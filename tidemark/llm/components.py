@@ -7,12 +7,21 @@ Rounds are cut by reliable checkpoints, so a lost executor costs one round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import cut
 
 
+def rewired(edges: DataFrame) -> DataFrame:
+    """Fewer edges of the same components: each node's lesser neighbours are tied to the least of them, not to the node."""
+    oriented = edges.where("src <> dst").select(F.greatest("src", "dst").alias("high"), F.least("src", "dst").alias("low")).distinct()
+    least = oriented.withColumn("least", F.min("low").over(Window.partitionBy("high")))
+    ties = least.select(F.explode(F.array(F.col("high"), F.col("low"))).alias("src"), F.col("least").alias("dst")).where("src <> dst").distinct()
+    loops = edges.where("src = dst").select("src", "dst").distinct()
+    return ties.unionByName(loops)
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, label) for every node of ``edges``; label is the least node of its component.
 
@@ -20,6 +29,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     an empty table; edges with a null end are ignored.
     """
     one = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null")
+    one = rewired(one)
     both = cut(one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = cut(both.groupBy("src").agg(F.min(F.least("src", "dst")).alias("label")).withColumnRenamed("src", "node"))
     while True:
