@@ -1,0 +1,229 @@
+"""The dialect's functions as Spark SQL text, by name; arguments are SQL texts already rewritten."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from ..errors import SqlError
+
+# Strftime codes and their date_format patterns.
+STRFTIME = {
+    "Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "y": "yy", "j": "DDD", "B": "MMMM", "b": "MMM", "A": "EEEE", "a": "EEE", "p": "a", "I": "hh", "f": "SSSSSS",
+}
+
+_SPACE = r"r'(?U)%s'"
+
+
+def literal(sql: str) -> str | None:
+    """The text of a string literal, else None."""
+    return sql[1:-1].replace("\\'", "'").replace("\\\\", "\\") if len(sql) > 1 and sql[0] == sql[-1] == "'" else None
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def strftime_pattern(code: str) -> str:
+    out, plain, i = [], "", 0
+    while i < len(code):
+        c = code[i]
+        if c == "%" and i + 1 < len(code):
+            i += 1
+            if code[i] in STRFTIME:
+                out += [f"'{plain}'" if plain else "", STRFTIME[code[i]]]
+                plain = ""
+            else:
+                plain += code[i]
+        else:
+            plain += c if c != "'" else "''"
+        i += 1
+    return "".join([*out, f"'{plain}'" if plain else ""])
+
+
+def _strftime(a: str, b: str) -> str:
+    fmt, value = (a, b) if literal(a) and "%" in literal(a) else (b, a)
+    text = literal(fmt)
+    if text is None:
+        raise SqlError("strftime needs a literal format")
+    return f"date_format({value}, {quoted(strftime_pattern(text))})"
+
+
+def _timestamp(x: str) -> str:
+    return f"CAST({x} AS TIMESTAMP)"
+
+
+def micros(x: str) -> str:
+    return f"unix_micros({_timestamp(x)})"
+
+
+def makes_date(sql: str) -> bool:
+    """Whether an expression's text shows that it is a date."""
+    s = sql.upper()
+    return s.startswith(("DATE '", "TRY_CAST(") + ("MAKE_DATE(", "CURRENT_DATE", "LAST_DAY(", "DATE_ADD(", "ADD_MONTHS(")) and (not s.startswith("TRY_CAST(") or s.endswith("AS DATE)"))
+
+
+def date_part(field: str, x: str) -> str:
+    f = (literal(field) or field).lower()
+    made = {
+        "dow": f"(dayofweek({x}) - 1)", "dayofweek": f"(dayofweek({x}) - 1)", "isodow": f"(weekday({x}) + 1)", "doy": f"dayofyear({x})", "dayofyear": f"dayofyear({x})",
+        "week": f"weekofyear({x})", "epoch": f"({micros(x)} div 1000000)", "quarter": f"quarter({x})", "year": f"year({x})", "month": f"month({x})", "day": f"dayofmonth({x})",
+        "hour": f"hour({x})", "minute": f"minute({x})", "second": f"second({x})",
+    }
+    if f not in made:
+        raise SqlError(f"unknown date part {f}")
+    return f"CAST({made[f]} AS BIGINT)"
+
+
+def date_trunc(unit: str, x: str) -> str:
+    made = f"CAST(date_trunc({unit}, {x}) AS TIMESTAMP_NTZ)"
+    return f"CAST({made} AS DATE)" if makes_date(x) else made
+
+
+def date_diff(unit: str, a: str, b: str) -> str:
+    """Boundaries of the unit between a and b."""
+    u = (literal(unit) or unit).lower().rstrip("s")
+    months = f"((year({b}) - year({a})) * 12 + month({b}) - month({a}))"
+    if u == "year":
+        return f"CAST(year({b}) - year({a}) AS BIGINT)"
+    if u == "quarter":
+        return f"CAST((year({b}) - year({a})) * 4 + quarter({b}) - quarter({a}) AS BIGINT)"
+    if u == "month":
+        return f"CAST({months} AS BIGINT)"
+    if u == "day":
+        return f"CAST(datediff(CAST({b} AS DATE), CAST({a} AS DATE)) AS BIGINT)"
+    if u == "week":
+        return f"CAST(datediff(trunc({b}, 'WEEK'), trunc({a}, 'WEEK')) div 7 AS BIGINT)"
+    size = {"hour": 3600, "minute": 60, "second": 1}.get(u)
+    if size is None:
+        raise SqlError(f"unknown unit {u}")
+    floor = lambda x: f"CAST(floor({micros(x)} / {size * 1000000}) AS BIGINT)"
+    return f"({floor(b)} - {floor(a)})"
+
+
+def date_add(unit: str, n: str, d: str) -> str:
+    u = (literal(unit) or unit).lower().rstrip("s")
+    day = f"CAST({d} AS DATE)"
+    if u in ("year", "quarter", "month"):
+        return f"add_months({day}, CAST({n} AS INT) * {dict(year=12, quarter=3, month=1)[u]})"
+    if u in ("week", "day"):
+        return f"date_add({day}, CAST({n} AS INT) * {dict(week=7, day=1)[u]})"
+    if u in ("hour", "minute", "second"):
+        return f"CAST(timestampadd({u.upper()}, {n}, CAST({d} AS TIMESTAMP_NTZ)) AS TIMESTAMP_NTZ)"
+    raise SqlError(f"unknown unit {u}")
+
+
+def _added(sign: str) -> Callable[..., str]:
+    def made(*a: str) -> str:
+        if len(a) == 3:
+            return date_add(a[0], a[1] if sign == "+" else f"-({a[1]})", a[2])
+        if a[1].upper().startswith(("INTERVAL", "MAKE_INTERVAL")):
+            return f"({a[0]} {sign} {a[1]})"
+        return f"{'date_add' if sign == '+' else 'date_sub'}({a[0]}, {a[1]})"
+
+    return made
+
+
+def _text(x: str) -> str:
+    return f"CAST({x} AS STRING)"
+
+
+def _substr(s: str, start: str, size: str | None = None) -> str:
+    return f"substring({s}, greatest({start}, 1)" + (f", greatest({size}, 0))" if size else ")")
+
+
+def _typeof(x: str) -> str:
+    return (
+        f"CASE WHEN typeof({x}) IN ('tinyint', 'smallint', 'int', 'bigint') THEN 'INTEGER' WHEN typeof({x}) = 'string' THEN 'VARCHAR' WHEN typeof({x}) IN ('float', 'double') THEN 'DOUBLE' "
+        f"WHEN typeof({x}) LIKE 'timestamp%' THEN 'TIMESTAMP' WHEN typeof({x}) LIKE 'interval%' THEN 'INTERVAL' ELSE upper(typeof({x})) END"
+    )
+
+
+def _round_to(name: str) -> Callable[[str], str]:
+    return lambda x: f"({x} + ({name}({x}) - {x}))"  # a whole number of the argument's own type
+
+
+def _integer(x: str) -> str:
+    return f"coalesce(try_cast({_text(x)} AS BIGINT), try_cast(try_cast({_text(x)} AS DOUBLE) AS BIGINT))"
+
+
+def _coalesce(*a: str) -> str:
+    return f"coalesce({', '.join(a)})"
+
+
+def _if(c: str, a: str, b: str) -> str:
+    return f"if({c}, {a}, {b})"
+
+
+def _length(x: str) -> str:
+    return f"CAST(char_length({_text(x)}) AS BIGINT)"
+
+
+def _bytes(x: str) -> str:
+    return f"CAST(octet_length({x}) AS BIGINT)"
+
+
+def _age(*a: str) -> str:
+    return f"({a[0]} - {a[1]})" if len(a) > 1 else f"(current_date() - CAST({a[0]} AS DATE))"
+
+
+def _today(*_: str) -> str:
+    return "current_date()"
+
+
+def _now(*_: str) -> str:
+    return "localtimestamp()"
+
+
+def _chr(n: str) -> str:
+    return f"decode(unhex(lpad(hex({n}), 8, '0')), 'UTF-32')"
+
+
+def _contains_all(name: str) -> Callable[..., str]:
+    return lambda *a: f"{name}({', '.join(a)})"
+
+
+SCALAR: dict[str, Callable[..., str]] = {
+    "IFNULL": _coalesce, "NVL": _coalesce, "IIF": _if, "IF": _if, "ISNULL": lambda x: f"isnull({x})", "IS_NULL": lambda x: f"isnull({x})",
+    "ISNAN": lambda x: f"coalesce(isnan(try_cast({_text(x)} AS DOUBLE)), false)", "TYPEOF": _typeof,
+    "LENGTH": _length, "LEN": _length, "CHAR_LENGTH": _length, "CHARACTER_LENGTH": _length, "OCTET_LENGTH": _bytes, "BYTE_LENGTH": _bytes,
+    "TRIM": lambda x: f"regexp_replace({x}, {_SPACE % '^\\s+|\\s+$'}, '')", "LTRIM": lambda x: f"regexp_replace({x}, {_SPACE % '^\\s+'}, '')", "RTRIM": lambda x: f"regexp_replace({x}, {_SPACE % '\\s+$'}, '')",
+    "SUBSTR": _substr, "SUBSTRING": _substr, "CONCAT": lambda *a: f"concat_ws('', {', '.join(map(_text, a))})", "CONCAT_WS": lambda sep, *a: f"concat_ws({', '.join([sep, *map(_text, a)])})",
+    "SPLIT_PART": lambda s, d, n: f"split_part({s}, {d}, greatest({n}, 1))", "STARTS_WITH": _contains_all("startswith"), "ENDS_WITH": _contains_all("endswith"),
+    "POSITION": lambda needle, text: f"CAST(locate({needle}, {text}) AS BIGINT)", "CHR": _chr, "CHAR": _chr,
+    "TO_VARCHAR": _text, "TO_STRING": _text, "TO_NUMBER": lambda x: f"try_cast({_text(x)} AS DOUBLE)", "TO_NUMERIC": lambda x: f"try_cast({_text(x)} AS DOUBLE)", "TO_DOUBLE": lambda x: f"try_cast({_text(x)} AS DOUBLE)",
+    "TO_INTEGER": _integer, "TO_INT": _integer,
+    "CEIL": _round_to("ceil"), "CEILING": _round_to("ceil"), "FLOOR": _round_to("floor"), "TRUNC": lambda x: f"({x} - {x} % 1)", "TRUNCATE": lambda x: f"({x} - {x} % 1)", "POW": _contains_all("power"),
+    "LOG": lambda *a: f"log10({a[0]})" if len(a) == 1 else f"log({a[0]}, {a[1]})", "MOD": _contains_all("try_mod"), "ARRAY_LENGTH": _contains_all("size"), "ARRAY_SIZE": _contains_all("size"),
+    "CURRENT_DATE": _today, "TODAY": _today, "GETDATE": _today, "NOW": _now, "CURRENT_TIMESTAMP": _now,
+    "DATE": lambda x: f"try_cast({x} AS DATE)", "TIMESTAMP": lambda x: f"try_cast({x} AS TIMESTAMP_NTZ)", "TO_DATE": lambda x: f"try_cast({x} AS DATE)",
+    "YEAR": lambda x: f"year(try_cast({x} AS DATE))", "MONTH": lambda x: f"month(try_cast({x} AS DATE))", "DAY": lambda x: f"dayofmonth(try_cast({x} AS DATE))", "DAYOFMONTH": lambda x: f"dayofmonth(try_cast({x} AS DATE))",
+    "DATE_TRUNC": date_trunc, "DATE_PART": date_part, "DATEPART": date_part, "EXTRACT": date_part,
+    "DATEDIFF": lambda *a: date_diff(*a) if len(a) == 3 else f"datediff(CAST({a[0]} AS DATE), CAST({a[1]} AS DATE))", "DATE_DIFF": lambda *a: date_diff(*a) if len(a) == 3 else f"datediff(CAST({a[0]} AS DATE), CAST({a[1]} AS DATE))",
+    "DATE_ADD": _added("+"), "DATEADD": _added("+"), "DATE_SUB": _added("-"), "STRFTIME": _strftime, "FORMAT_DATE": _strftime,
+    "EPOCH": lambda x: f"({micros(x)} div 1000000)", "EPOCH_MS": lambda x: f"unix_millis({_timestamp(x)})", "AGE": _age,
+    "TO_TIMESTAMP": lambda x: f"CAST(timestamp_seconds({x}) AS TIMESTAMP_NTZ)" if literal(x) is None else f"try_cast({x} AS TIMESTAMP_NTZ)",
+    "DAYNAME": lambda d: f"date_format({d}, 'EEEE')", "MONTHNAME": lambda d: f"date_format({d}, 'MMMM')",
+}
+
+AGGREGATE_NAMES = {"STDEV": "stddev_samp", "STDDEV": "stddev_samp", "VARIANCE": "var_samp"}
+
+
+def cast(x: str, kind: str, generic: bool = False) -> str:
+    """CAST that gives null where the value does not convert.  ``generic`` also takes dates and
+    timestamps to numbers and back, by way of the value's own type."""
+    if kind == "STRING":
+        return _text(x)
+    if kind == "BOOLEAN":
+        return f"CASE lower({_text(x)}) WHEN 'on' THEN true WHEN 'off' THEN false ELSE try_cast({_text(x) if generic else x} AS BOOLEAN) END"
+    if kind == "BIGINT" and not generic:
+        return f"coalesce(try_cast({x} AS BIGINT), try_cast(try_cast({x} AS DOUBLE) AS BIGINT))"
+    if kind == "BIGINT":
+        return (
+            f"CASE WHEN typeof({x}) = 'date' THEN CAST(datediff(try_cast({_text(x)} AS DATE), DATE '1970-01-01') AS BIGINT) WHEN typeof({x}) LIKE 'timestamp%' THEN unix_micros(try_cast({_text(x)} AS TIMESTAMP)) "
+            f"WHEN typeof({x}) = 'boolean' THEN if({_text(x)} = 'true', 1L, 0L) ELSE {_integer(x)} END"
+        )
+    if kind == "DATE" and generic:
+        return f"CASE WHEN typeof({x}) IN ('int', 'bigint') THEN date_add(DATE '1970-01-01', try_cast({_text(x)} AS INT)) ELSE try_cast({_text(x)} AS DATE) END"
+    if kind == "TIMESTAMP_NTZ" and generic:
+        return f"CASE WHEN typeof({x}) IN ('int', 'bigint') THEN CAST(timestamp_micros(try_cast({_text(x)} AS BIGINT)) AS TIMESTAMP_NTZ) ELSE try_cast({_text(x)} AS TIMESTAMP_NTZ) END"
+    return f"try_cast({x} AS {kind})"
