@@ -1,0 +1,117 @@
+from __future__ import annotations
+
+import datetime
+import hashlib
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import pseudonyms as P
+
+KEY = "k1"
+
+
+def luhn(number):
+    d = [int(c) for c in number if c.isdigit()][::-1]
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
+
+
+def digest(kind, turn, half):
+    return hashlib.sha256(f"{KEY}|{kind}|{turn}|{half}".encode()).hexdigest()
+
+
+def feistel_pair(kind, left, right, a, b, rounds=P.ROUNDS):
+    for turn in range(rounds):
+        radix = a if turn % 2 == 0 else b
+        left, right = right, (left + int(digest(kind, turn, right)[:12], 16) % radix) % radix
+    return left, right
+
+
+def feistel_symbols(kind, value, rounds=P.ROUNDS):
+    symbols = [c for c in value if c.isascii() and c.isalnum()]
+    left, right = symbols[: len(symbols) // 2], symbols[len(symbols) // 2 :]
+
+    def moved(c, by):
+        low, size = ("0", 10) if c.isdigit() else ("A", 26) if c.isupper() else ("a", 26)
+        return chr((ord(c) - ord(low) + by) % size + ord(low))
+
+    for turn in range(rounds):
+        h, out = digest(kind, turn, "".join(right)), []
+        for i, c in enumerate(left):
+            stream = h if i < 16 else hashlib.sha256(f"{h}|{i // 16}".encode()).hexdigest()
+            out.append(moved(c, int(stream[i % 16 * 4 : i % 16 * 4 + 4], 16)))
+        left, right = right, out
+    new = iter(left + right)
+    return "".join(next(new) if c.isascii() and c.isalnum() else c for c in value)
+
+
+def texts_out(spark, texts, **options):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r.text, r.kinds) for r in P.pseudonymise(df, key=KEY, kinds="kinds", **options).orderBy("doc_id").collect()]
+
+
+def test_permutations_invert(spark):
+    df = spark.range(270 * 271).select((F.floor(F.col("id") / 271)).alias("l"), (F.col("id") % 271).alias("r"))
+    there = df.select("l", "r", P.two_halves(KEY, "date", F.col("l"), F.col("r"), 270, 271).alias("p"))
+    back = there.select("l", "r", "p", P.two_halves(KEY, "date", F.col("p.l"), F.col("p.r"), 270, 271, inverse=True).alias("b"))
+    row = back.agg(F.count_distinct("p").alias("images"), F.sum(((F.col("b.l") == F.col("l")) & (F.col("b.r") == F.col("r"))).cast("int")).alias("same")).first()
+    assert tuple(row) == (270 * 271, 270 * 271)
+    r = random.Random(1)
+    values = ["".join(r.choices("abcXYZ0123456789-. ", k=r.randint(0, 60))) for _ in range(200)]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    out = df.select("v", P.symbols_in_place(KEY, "x", F.col("v")).alias("p")).select("v", "p", P.symbols_in_place(KEY, "x", F.col("p"), inverse=True).alias("b")).collect()
+    assert all(x.b == x.v and x.p == feistel_symbols("x", x.v) for x in out)
+
+
+def test_known_values(spark):
+    ip = feistel_pair("ip", 227 * 256 + 5, 221 * 256 + 1, 65536, 65536)
+    day = (datetime.date(1984, 2, 29) - datetime.date(1900, 1, 1)).days
+    moved = datetime.date(1900, 1, 1) + datetime.timedelta(days=(lambda p: p[0] * 271 + p[1])(feistel_pair("date", day // 271, day % 271, 270, 271)))
+    card = feistel_symbols("card", "4111 1111 1111 111")
+    got = texts_out(spark, ["from 227.5.221.1.", "born 1984-02-29,", "call +1 (743) 555-3824 now", "card 4111 1111 1111 1111"])
+    assert got[0] == (f"from {ip[0] // 256}.{ip[0] % 256}.{ip[1] // 256}.{ip[1] % 256}.", ["ip"])
+    assert got[1] == (f"born {moved},", ["date"])
+    assert got[2] == ("call +1" + feistel_symbols("phone", " (743) 555-3824") + " now", ["phone"])
+    assert got[3][0][5:-1] == card and luhn(got[3][0]) and got[3][1] == ["card"]
+
+
+def test_formats_links_and_validation(spark):
+    texts = [
+        "4111111111111111 and 4111-1111-1111-1111", "4111111111111112", "2024-02-30 300.1.2.3 000-12-3456", "a.b@mail1.example.com, a.b@mail1.example.com", "078-05-1120",
+        "DE89370400440532013000 DE89 3704 0044 0532 0130 00", "DE88370400440532013000", "31.12.1999 1999-12-31 12/31/1999", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "no data, just 12 words",
+    ]
+    out = texts_out(spark, texts)
+    a, b = out[0][0].split(" and ")
+    assert a == b.replace("-", "") and luhn(a) and a != "4111111111111111"
+    for i in (1, 2, 6, 9):
+        assert out[i] == (texts[i], [])
+    x, y = out[3][0].split(", ")
+    assert x == y != "a.b@mail1.example.com" and x.endswith(".com") and x.count(".") == 3
+    assert out[4][1] == ["ssn"] and out[4][0] != "078-05-1120"
+    one, four = out[5][0].split(" ", 1)
+    assert four.replace(" ", "") == one and int("".join(str(int(c, 36)) for c in one[4:] + one[:4])) % 97 == 1
+    dates = out[7][0].split()
+    assert datetime.datetime.strptime(dates[0], "%d.%m.%Y") == datetime.datetime.strptime(dates[1], "%Y-%m-%d") == datetime.datetime.strptime(dates[2], "%m/%d/%Y")
+    assert len(out[8][0]) == len(texts[8]) and "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" not in out[8][0]
+
+
+def test_no_python_in_the_plan(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    plan = P.pseudonymise(df)._jdf.queryExecution().toString()
+    assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_awkward(awkward, empty):
+    out = P.pseudonymise(awkward, kinds="kinds")
+    assert out.columns == [*awkward.columns, "kinds"]
+    assert {r.doc_id: r.text for r in out.collect()} == {r.doc_id: r.text for r in awkward.collect()}
+    assert P.pseudonymise(empty).count() == 0
+
+
+@pytest.mark.parametrize("key", ["k1", "k2"])
+def test_the_key_matters(spark, key):
+    df = spark.createDataFrame([(1, "227.5.221.1")], "doc_id long, text string")
+    value = P.pseudonymise(df, key=key).first().text
+    ip = feistel_pair("ip", 227 * 256 + 5, 221 * 256 + 1, 65536, 65536)
+    assert (value == f"{ip[0] // 256}.{ip[0] % 256}.{ip[1] // 256}.{ip[1] % 256}") == (key == KEY)
