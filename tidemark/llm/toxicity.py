@@ -133,22 +133,25 @@ def best_threshold(y: np.ndarray, p: np.ndarray) -> float:
     return float((ranked[k] + (ranked[k + 1] if k + 1 < len(ranked) else 0.0)) / 2)
 
 
-def fit_chain(owner: np.ndarray, hashes: np.ndarray, labels: dict[str, np.ndarray], folds: int = FOLDS) -> list[Linear]:
-    """One model per category, in order; documents are dealt to folds by their number."""
-    n = len(next(iter(labels.values())))
-    fold, earlier, chain = np.arange(n) % folds, np.zeros((n, 0)), []
-    for name, y in labels.items():
-        y = y.astype(np.float64)
-        unseen = np.zeros(n)
-        for k in range(folds):
-            learn, held = fold != k, fold == k
-            if not held.any():
-                continue
-            renumber = np.cumsum(learn) - 1
-            rows = learn[owner]
+def out_of_fold(owner: np.ndarray, hashes: np.ndarray, y: np.ndarray, earlier: np.ndarray, folds: int = FOLDS) -> np.ndarray:
+    """Each document's probability by a model of the other folds; documents are dealt to folds by their number."""
+    fold, unseen = np.arange(len(y)) % folds, np.zeros(len(y))
+    for k in range(folds):
+        learn, held = fold != k, fold == k
+        if held.any():
+            renumber, rows = np.cumsum(learn) - 1, learn[owner]
             model = fit_linear(renumber[owner[rows]], hashes[rows], y[learn], earlier[learn])
             renumber, rows = np.cumsum(held) - 1, held[owner]
             unseen[held] = sigmoid(model.margins(renumber[owner[rows]], hashes[rows], int(held.sum()), earlier[held]))
+    return unseen
+
+
+def fit_chain(owner: np.ndarray, hashes: np.ndarray, labels: dict[str, np.ndarray], folds: int = FOLDS) -> list[Linear]:
+    """One model per category, in order."""
+    chain, earlier = [], np.zeros((len(next(iter(labels.values()))), 0))
+    for name, y in labels.items():
+        y = y.astype(np.float64)
+        unseen = out_of_fold(owner, hashes, y, earlier, folds)
         model = fit_linear(owner, hashes, y, earlier)
         model.threshold, model.names = best_threshold(y, unseen), [name]
         chain.append(model)
