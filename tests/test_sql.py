@@ -171,3 +171,13 @@ def test_results(db):
     assert (r.row_count(), r.column_count(), r.columns, r.get(1, "NAME"), r.get(0, 0)) == (5, 2, ["id", "name"], "Bob", 1)
     with pytest.raises(IndexOutOfBoundsError):
         r.get(9, 0)
+
+
+def test_time_type(engine):
+    engine.execute("CREATE TABLE t (a TIME); INSERT INTO t VALUES (CAST('10:11:12' AS TIME))")
+    assert rows(engine, "SELECT a, CAST('x' AS TIME) FROM t") == [(datetime.time(10, 11, 12), None)]
+
+
+def test_user_functions(engine):
+    engine.register_function("twice", lambda x: x * 2, "bigint")
+    assert rows(engine, "SELECT twice(21)") == [(42,)]
