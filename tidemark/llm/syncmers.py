@@ -102,10 +102,12 @@ def with_next(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
     base = _bucketed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), rows)
     firsts = base.groupBy("b0", "b1").agg(F.min(F.struct("doc_id", "text")).alias("first"))
     keys = base.select("b0", "b1").distinct()
-    order = Window.orderBy("b0", "b1")
-    ends = keys.agg(F.max(F.struct("b0", "b1")).alias("end"))
-    before = keys.select("b0", "b1", F.lag(F.struct("b0", "b1")).over(order).alias("p")).crossJoin(F.broadcast(ends))
-    before = before.select("b0", "b1", F.coalesce("p", "end").alias("p"))
+    # the range before each: in its own b0, or the last one of the b0 before (of which there are at most COARSE ** 2 + 1)
+    lasts = keys.groupBy("b0").agg(F.struct("b0", F.max("b1").alias("b1")).alias("own"))
+    ends = lasts.agg(F.max("own").alias("end"))
+    lasts = lasts.select("b0", F.lag("own").over(Window.orderBy("b0")).alias("above")).crossJoin(F.broadcast(ends))
+    inner = keys.select("b0", "b1", F.lag("b1").over(Window.partitionBy("b0").orderBy("b1")).alias("p1"))
+    before = inner.join(lasts, "b0").select("b0", "b1", F.when(F.col("p1").isNotNull(), F.struct("b0", F.col("p1").alias("b1"))).otherwise(F.coalesce("above", "end")).alias("p"))
     guests = firsts.join(before, ["b0", "b1"]).select(F.col("first.doc_id").alias("doc_id"), F.col("first.text").alias("text"), F.col("p.b0").alias("b0"), F.col("p.b1").alias("b1"), F.lit(True).alias("guest"))
     all_rows = base.withColumn("guest", F.lit(False)).unionByName(guests)
     here = Window.partitionBy("b0", "b1").orderBy("guest", "doc_id", "text")
