@@ -40,6 +40,7 @@ from .words import buffers, slices
 ORDER = 4
 SYMBOLS = 48
 QUANTILE, SLACK, LEAST = 0.997, 3.0, 50
+BITMAP_BITS, MOST_LANGUAGES = 1 << 24, 10_000
 
 # The classes of characters that are neither letters nor digits.
 _MARKS = {" ": 27, "\t": 27, "\n": 28, "\r": 28, ".": 29, ",": 30, "!": 31, "?": 31, "'": 32, '"': 32, "-": 33, ":": 34, ";": 34, "(": 35, ")": 35}
@@ -140,17 +141,18 @@ def dense(rows: pa.Table) -> np.ndarray:
     """Log probabilities of all ``SYMBOLS ** 4`` n-grams; a context never seen gives all weight to the lower order."""
     n, g = rows["n"].to_numpy(), rows["g"].to_numpy()
     base, gamma = rows["base"].to_numpy(), rows["gamma"].to_numpy()
-    p = np.full(1, 1.0 / SYMBOLS)
+    p = np.full(SYMBOLS, 1.0 / SYMBOLS, dtype=np.float32)  # of the lower order, for every context and symbol
     for order in range(1, ORDER + 1):
         own = n == order
-        share, weight = np.zeros(SYMBOLS**order), np.ones(SYMBOLS ** (order - 1))
-        share[g[own]] = base[own]
+        weight = np.ones(SYMBOLS ** (order - 1), dtype=np.float32)
         weight[g[own] // SYMBOLS] = gamma[own]
-        lower = np.full(SYMBOLS, p[0]) if order == 1 else p
-        shape = (-1, SYMBOLS)
-        below = np.broadcast_to(lower.reshape(1, -1), (SYMBOLS ** max(0, order - 1) * SYMBOLS // len(lower), len(lower))).reshape(shape)
-        p = (share.reshape(shape) + weight[:, None] * below).ravel()
-    return np.log(np.maximum(p, 1e-12)).astype(np.float32)
+        # the lower order's probabilities repeat for each oldest symbol of the context
+        below = np.broadcast_to(p.reshape(1, -1), (SYMBOLS**order // len(p), len(p))).reshape(-1, SYMBOLS)
+        made = weight[:, None] * below
+        made.ravel()[g[own]] += base[own].astype(np.float32)
+        p = made.ravel()
+    np.maximum(p, np.float32(1e-12), out=p)
+    return np.log(p, out=p)
 
 
 def train(trusted: DataFrame, text: str = "text") -> np.ndarray:
@@ -189,26 +191,73 @@ def trusted_ids(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return labels.where("quality is not null").groupBy(F.col(doc_id).alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE, slack: float = SLACK, least: int = LEAST) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, score, threshold and accepted of every document."""
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+def trusted_texts(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """The texts of the documents (doc_id, text) whose id is in ``good``.
+
+    A bitmap of hashed ids, of a fixed size, leaves out most other documents where they are read; the rest are
+    joined on their ids, always by sort and merge, so that the plan is the same at every size.
+    """
+    workers_import(docs.sparkSession)
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))
+    words = good.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+    rows = words.toArrow()  # at most BITMAP_BITS / 64 rows
+    bitmap = np.zeros(BITMAP_BITS // 64, dtype=np.uint64)
+    bitmap[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy().astype(np.uint64)
+            bits = shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))
+            left = batch.filter(pa.array((bits & np.uint64(1)).astype(bool)))
+            yield pa.RecordBatch.from_arrays(left.columns[:2], ["doc_id", "text"])
+
+    likely = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", slot.alias("slot")).mapInArrow(run, "doc_id bigint, text string")
+    return likely.join(good.hint("merge"), "doc_id", "left_semi").select("text")
+
+
+def with_score(scored: DataFrame, slack: float) -> DataFrame:
+    return scored.withColumn("score", F.col("log_perplexity") - slack / F.sqrt("n_symbols"))
+
+
+def fit(source: DataFrame, labels: DataFrame, quantile: float, slack: float, least: int) -> tuple[np.ndarray, DataFrame, float | None, DataFrame]:
+    """(table, limits by language, limit of all, scores): the model and thresholds of ``source`` (doc_id, lang, text)."""
     good = trusted_ids(labels)
-    table = train(source.join(good, "doc_id", "left_semi"))
-    scored = cut(score(source, table)).withColumn("score", F.col("log_perplexity") - slack / F.sqrt("n_symbols"))
-    trusted = scored.join(good, "doc_id", "left_semi").where("score is not null")
+    table = train(trusted_texts(source, good))
+    scored = with_score(cut(score(source, table)), slack)
+    trusted = scored.where("score is not null").join(good, "doc_id", "left_semi")
     at = F.percentile_approx("score", quantile, 10000)
     limits = trusted.groupBy(F.coalesce("lang", F.lit("")).alias("of_lang")).agg(at.alias("threshold"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
-    overall = trusted.agg(at).first()[0]
-    out = scored.join(limits, F.coalesce("lang", F.lit("")) == F.col("of_lang"), "left")
+    limits = cut(limits)
+    return table, F.broadcast(limits) if limits.count() <= MOST_LANGUAGES else limits, trusted.agg(at).first()[0], scored
+
+
+def judged(scored: DataFrame, limits: DataFrame, overall: float | None, lang: str = "lang") -> DataFrame:
+    """``scored`` with threshold and accepted."""
+    out = scored.join(limits, F.coalesce(F.col(lang), F.lit("")) == F.col("of_lang"), "left")
     out = out.withColumn("threshold", F.coalesce("threshold", F.lit(None if overall is None else float(overall)).cast("double")))
-    accepted = F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True))
-    return out.select("doc_id", "lang", "n_symbols", F.exp("log_perplexity").alias("perplexity"), "score", "threshold", accepted.alias("accepted"))
+    return out.withColumn("accepted", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)))
 
 
-def keep_accepted(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """The documents that :func:`classify` accepts, with their columns as they were (a row with a null id is kept)."""
-    rejected = classify(docs, labels, text=text, doc_id=doc_id, lang=lang).where("not accepted and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(rejected, docs[f"`{doc_id}`"] == rejected["__gone"], "left_anti")
+def _source(docs: DataFrame, doc_id: str, lang: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE, slack: float = SLACK, least: int = LEAST) -> DataFrame:
+    """doc_id, lang, n_symbols, perplexity, score, threshold and accepted of every document."""
+    _, limits, overall, scored = fit(_source(docs, doc_id, lang, text), labels, quantile, slack, least)
+    return judged(scored, limits, overall).select("doc_id", "lang", "n_symbols", F.exp("log_perplexity").alias("perplexity"), "score", "threshold", "accepted")
+
+
+def keep_accepted(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE, slack: float = SLACK, least: int = LEAST) -> DataFrame:
+    """The documents that the classifier accepts, with their columns as they were.
+
+    They are scored once more where they are read, rather than shuffled to meet their verdicts.
+    """
+    table, limits, overall, _ = fit(_source(docs, doc_id, lang, text), labels, quantile, slack, least)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
+    scored = with_score(score(whole, table, keep=("row", "lang")), slack)
+    return judged(scored, limits, overall).where("accepted").select("row.*")
 
 
 def perplexity_by_hand(texts: Sequence[str], table: np.ndarray) -> list[float | None]:
