@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from bisect import bisect_right
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 
 from .arrowmap import map_texts
 
-CACHED_PIECES, CACHED_BYTES, CACHED_PAIRS = 500_000, 48, 400_000
+CACHED_BYTES, CACHED_PAIRS, SLICE_CHARS = 100 << 20, 400_000, 2 << 20
 _NONE = 1 << 60
 
 
@@ -171,35 +172,57 @@ class Piece:
         return out[::-1]
 
 
-class _Pieces(dict):
-    """Ids of pieces as little-endian unsigned 32-bit integers, computed once each."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        ids = np.array(Piece(self.vocabulary, data).ids() if data not in self.vocabulary.ranks else [self.vocabulary.ranks[data]], dtype="<u4").tobytes()
-        if len(data) <= CACHED_BYTES:
-            if len(self) >= CACHED_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 class Encoder:
-    """Text to ids and back; each match of the pattern is encoded separately."""
+    """Text to ids and back; each match of the pattern is encoded separately.
+
+    Ids of pieces are kept, as little-endian unsigned 32-bit integers, up to ``CACHED_BYTES``.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary = Vocabulary(ranks)
-        self.find = regex.compile(pattern).findall
         self.pattern = regex.compile(pattern)
-        self._pieces = _Pieces(self.vocabulary)
+        self.find = self.pattern.findall
+        self._known: dict[str, bytes] = {}
+        self._held = 0
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode the pieces not known yet, in order, so that each starts from the prefix it shares with the one before."""
+        if self._held > CACHED_BYTES:
+            self._known.clear()
+            self._held = 0
+        extend, ranks, tokens = self.vocabulary.extend, self.vocabulary.ranks, self.vocabulary.tokens
+        before, last = b"", []
+        for piece in sorted(p for p in pieces if p not in self._known):  # the order of characters is that of their bytes
+            data = piece.encode()
+            token = ranks.get(data)
+            if token is None:
+                shared = 0
+                for x, y in zip(before, data, strict=False):
+                    if x != y:
+                        break
+                    shared += 1
+                del last[shared:]
+                extend(last, data, len(data))
+                before, out, end = data, [], len(data)
+                while end:
+                    token = last[end - 1]
+                    out.append(token)
+                    end -= len(tokens[token])
+                out.reverse()
+            else:
+                out = [token]
+            self._known[piece] = struct.pack(f"<{len(out)}I", *out)
+            self._held += 2 * len(data) + 4 * len(out) + 150
+
+    def packed_all(self, texts: Sequence[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        lists = [self.find(t) for t in texts]
+        self._learn(set().union(*lists))
+        known = self._known.__getitem__
+        return [b"".join(map(known, pieces)) for pieces in lists]
 
     def packed(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self._pieces.__getitem__, self.find(text)))
+        return self.packed_all([text])[0]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), dtype="<u4").tolist()
@@ -213,11 +236,9 @@ class EncodedText:
 
     def __init__(self, encoder: Encoder, text: str):
         self.encoder, self.text = encoder, text
-        self.starts = [m.start() for m in encoder.pattern.finditer(text)]
-        self.parts = [encoder.packed(p) if p else b"" for p in self._spans(self.starts)]
-
-    def _spans(self, starts: list[int]) -> list[str]:
-        return [self.text[a:b] for a, b in zip(starts, [*starts, len(self.text)][1:], strict=True)]
+        found = list(encoder.pattern.finditer(text))
+        self.starts = [m.start() for m in found]
+        self.parts = [encoder.packed(m.group()) for m in found]
 
     def append(self, more: str) -> int:
         return self.replace(len(self.text), len(self.text), more)
@@ -264,14 +285,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str
 
         def mapper(column: pa.Array) -> list[pa.Array]:
             packed, sizes, ids_sha, text_sha = [], [], [], []
-            for value in column:
-                data = encoder.packed(value.as_py() or "")
-                ids = np.frombuffer(data, dtype="<u4")
-                sizes.append(len(ids))
-                ids_sha.append(hashlib.sha256(data).hexdigest())
-                text_sha.append(hashlib.sha256(encoder.vocabulary.decode(ids)).hexdigest())
-                if with_ids:
-                    packed.append(ids)
+            for texts in text_slices(column):
+                for data in encoder.packed_all(texts):
+                    ids = np.frombuffer(data, dtype="<u4")
+                    sizes.append(len(ids))
+                    ids_sha.append(hashlib.sha256(data).hexdigest())
+                    text_sha.append(hashlib.sha256(encoder.vocabulary.decode(ids)).hexdigest())
+                    if with_ids:
+                        packed.append(ids)
             out = [pa.array(sizes, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             if with_ids:
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -284,6 +305,20 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str
     return map_texts(docs, factory, [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids + fields, text, keep)
 
 
+def text_slices(column: pa.Array) -> Iterator[list[str]]:
+    """The texts in runs of about SLICE_CHARS characters."""
+    run: list[str] = []
+    size = 0
+    for value in column:
+        run.append(value.as_py() or "")
+        size += len(run[-1])
+        if size >= SLICE_CHARS:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 _encoders: dict[int, Encoder] = {}
 
 
