@@ -170,6 +170,38 @@ def test_likeness(spark):
     assert all(0.4 < by[i].near_edited < 0.8 and by[i].near_next < 0.05 for i in range(30))
 
 
+def test_all_anchors_of_long_texts_count(spark):
+    """A passage added to a long text is in its fingerprint; reordered paragraphs are not the same text."""
+    r = random.Random(15)
+    words = ["w%d" % i for i in range(50000)]
+    long, passage = r.choices(words, k=6000), r.choices(words, k=50)
+    texts = [long, long[:3000] + passage + long[3000:], long[3000:] + long[:3000], ["a", "b"] * 400]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {x.doc_id: x for x in S.compare(df).collect()}
+    n = {i: len(x.fingerprint) // 8 for i, x in out.items()}
+    assert n[0] > 2500 and 10 <= n[1] - n[0] <= 60 and len({x.fingerprint for x in out.values()}) == 4
+    assert all(len(x.places) == n[i] and x.places == sorted(set(x.places)) and x.places[-1] < len(texts[i]) for i, x in out.items())
+    assert 0.97 < out[0].near_next < 1 and n[3] > 100
+    both = df.where("doc_id = 0").crossJoin(df.where("doc_id = 2").selectExpr("text as other"))
+    assert 0.3 < both.select(S.likeness(S.places(both.text), S.places(both.other)).alias("x")).first().x < 0.35
+
+
+def test_likeness_by_definition(spark):
+    r = random.Random(16)
+    rows = [([r.randrange(6) for _ in range(r.randint(0, 12))], [r.randrange(6) for _ in range(r.randint(0, 12))]) for _ in range(200)]
+    kind = "array<struct<at: int, anchor: long>>"
+    df = spark.createDataFrame([(k, list(enumerate(a)), list(enumerate(b))) for k, (a, b) in enumerate(rows)], f"k int, a {kind}, b {kind}")
+    got = {x.k: x.x for x in df.select("k", S.likeness(df.a, df.b).alias("x")).collect()}
+    for k, (a, b) in enumerate(rows):
+        number = lambda s: [(x, s[:i].count(x)) for i, x in enumerate(s)]
+        places = [number(b).index(x) for x in number(a) if x in number(b)]
+        best = []
+        for i, p in enumerate(places):
+            best.append(1 + max((best[j] for j in range(i) if places[j] < p), default=0))
+        m = max(best, default=0)
+        assert got[k] == pytest.approx(m / (len(a) + len(b) - m) if a or b else 1.0)
+
+
 def test_syncmers_awkward(spark, awkward, empty):
     out = {x.doc_id: x for x in S.compare(awkward).collect()}
     assert len(out) == 10 and out[0].fingerprint == "" == out[1].fingerprint and out[3].fingerprint == out[4].fingerprint and out[0].near_next == 1.0

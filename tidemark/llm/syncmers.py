@@ -4,14 +4,17 @@ The sequence is the text's white-space separated words, lower case, after ``K -
 start marks.  A run of ``K`` words is an anchor (a closed syncmer) if the least
 hash of its inner runs of ``S`` words is that of the first or the last one.
 Whether a run is an anchor depends on its own words alone, so an edit moves no
-anchor that it doesn't touch.  The fingerprint is the ``SIZE`` least 32-bit hashes of
-the anchors, in ascending order, as hexadecimal digits; likeness is the
-bottom-``SIZE`` estimate of the Jaccard similarity of two anchor sets (exact while
-they have at most ``SIZE`` anchors).
+anchor that it doesn't touch.  The fingerprint is the 32-bit hashes of all anchors of
+the text, repeats among them, in order of place, as hexadecimal digits; their places
+(the number of the run's last word) are a column of their own.
+
+Likeness matches the anchors of two whole texts, the k-th occurrence of a hash with the
+k-th; of the matched ones it takes as many as come in the same order in both texts (the
+longest increasing subsequence), and divides by the anchors of both without these.
 
 Defined results: a null text is an empty text, with an empty fingerprint; two
 empty fingerprints have likeness 1; a text with words but without an anchor has
-the hash of all its words as its only anchor.
+the hash of all its words as its only anchor, at place 0.
 """
 
 from __future__ import annotations
@@ -21,13 +24,14 @@ from pyspark.sql import functions as F
 
 from .pseudonyms import let
 
-K, S, SIZE = 5, 2, 128
+K, S, SIZE = 5, 2, None  # SIZE: all anchors are kept
 BUCKET_ROWS, COARSE = 1000, 32
 
 
-def anchors(text: Column) -> Column:
-    """Sorted array of the SIZE least anchor hashes (0 .. 2^32 - 1)."""
+def places(text: Column) -> Column:
+    """Array of (at, anchor): all anchors of the text in order of place; hashes are 0 .. 2^32 - 1."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    one = lambda at, anchor: F.struct(at.cast("int").alias("at"), anchor.alias("anchor"))
 
     def of_words(w: Column) -> Column:
         hashes = F.concat(F.array_repeat(F.lit(0).cast("long"), K - 1), F.transform(w, lambda x: F.xxhash64(x)))
@@ -41,31 +45,75 @@ def anchors(text: Column) -> Column:
                     s,
                     lambda x, i: F.when(
                         (i + K <= F.size(h)) & (F.least(x, F.get(s, i + last)) <= F.least(*(F.get(s, i + j) for j in range(1, last)))),
-                        F.shiftrightunsigned(F.xxhash64(x, F.get(s, i + 2), F.get(h, i + 4)), 32),
+                        one(i, F.shiftrightunsigned(F.xxhash64(x, F.get(s, i + 2), F.get(h, i + 4)), 32)),
                     ),
                 )
-                return F.array_distinct(F.filter(kept, lambda x: x.isNotNull()))
+                return F.filter(kept, lambda x: x.isNotNull())
 
             return let(inner, of_inner)
 
         found = let(hashes, of_hashes)
-        return let(found, lambda f: F.when((F.size(f) == 0) & (F.size(w) > 0), F.array(F.shiftrightunsigned(F.xxhash64(F.array_join(w, " ")), 32))).otherwise(f))
+        return let(found, lambda f: F.when((F.size(f) == 0) & (F.size(w) > 0), F.array(one(F.lit(0), F.shiftrightunsigned(F.xxhash64(F.array_join(w, " ")), 32)))).otherwise(f))
+
+    return let(words, of_words)
+
+
+def anchors(text: Column) -> Column:
+    """Sorted array of all different anchor hashes."""
+    return F.sort_array(F.array_distinct(places(text)["anchor"]))
+
+
+def fingerprint(found: Column) -> Column:
+    return F.array_join(F.transform(found["anchor"], lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+
+
+def _parts(rows: Column, begins, body) -> Column:
+    """``body(first, last)`` of each run of ``rows``; ``begins(i)`` says whether a run begins at index i > 0."""
+    indices = F.filter(F.transform(rows, lambda _, i: i), lambda i: (i == 0) | begins(i))
+    return let(indices, lambda starts: F.transform(starts, lambda a, k: body(a, F.coalesce(F.get(starts, k + 1), F.size(rows)) - 1)))
 
-    return F.slice(F.sort_array(let(words, of_words)), 1, SIZE)
 
+def _numbered(found: Column, side: int) -> Column:
+    """(anchor, occurrence, side, index) of each anchor."""
 
-def fingerprint(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    def of_sorted(s: Column) -> Column:
+        row = lambda a, i: let(F.get(s, i), lambda x: F.struct(x["anchor"].alias("anchor"), (i - a).alias("k"), F.lit(side).alias("side"), x["i"].alias("i")))
+        return F.flatten(_parts(s, lambda i: F.get(s, i)["anchor"] != F.get(s, i - 1)["anchor"], lambda a, b: F.transform(F.sequence(a, b), lambda i: row(a, i))))
+
+    return let(F.sort_array(F.transform(found, lambda x, i: F.struct(x["anchor"].alias("anchor"), i.alias("i")))), of_sorted)
+
+
+def _in_order(pairs: Column) -> Column:
+    """Length of the longest subsequence of (a, b), in order of a, in which b increases.
+
+    Pairs that follow each other in both texts are one run, of which all or none belong to it.
+    """
+    breaks = lambda i: (F.get(pairs, i)["a"] != F.get(pairs, i - 1)["a"] + 1) | (F.get(pairs, i)["b"] != F.get(pairs, i - 1)["b"] + 1)
+    runs = _parts(pairs, breaks, lambda i, j: F.struct(F.get(pairs, i)["b"].alias("low"), F.get(pairs, j)["b"].alias("high"), (j - i + 1).alias("n")))
+    none = F.expr("cast(array() as array<struct<high: int, n: int>>)")
+
+    def add(done: Column, run: Column) -> Column:
+        before = F.array_max(F.transform(F.filter(done, lambda d: d["high"] < run["low"]), lambda d: d["n"]))
+        return F.concat(done, F.array(F.struct(run["high"].alias("high"), (run["n"] + F.coalesce(before, F.lit(0))).alias("n"))))
+
+    return F.coalesce(F.array_max(F.transform(F.aggregate(runs, none, add), lambda d: d["n"])), F.lit(0))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SIZE)
-    both = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.size(union))
+    """Of two texts' places: anchors matched in order, over the anchors of both texts without these."""
+
+    def of_both(s: Column) -> Column:
+        def pair(x: Column, i: Column) -> Column:
+            return let(F.get(s, i + 1), lambda y: F.when((x["anchor"] == y["anchor"]) & (x["k"] == y["k"]), F.struct(x["i"].alias("a"), y["i"].alias("b"))))
+
+        return let(F.sort_array(F.filter(F.transform(s, pair), lambda p: p.isNotNull())), _in_order)
+
+    matched = let(F.sort_array(F.concat(_numbered(a, 0), _numbered(b, 1))), of_both)
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(let(matched, lambda m: m / (F.size(a) + F.size(b) - m)))
 
 
 def add_fingerprint(docs: DataFrame, *, text: str = "text", sketch: str = "sketch") -> DataFrame:
-    """The documents with a column of their anchors' sketch; one narrow stage."""
+    """The documents with a column of their different anchors, in ascending order; one narrow stage."""
     return docs.withColumn(sketch, anchors(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
 
 
@@ -115,11 +163,12 @@ def with_next(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
 
 
 def compare(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each document and of its edited text, and likeness to the edited text and to the next document."""
+    """Fingerprints, with the anchors' places, of each document and of its edited text, and likeness to the edited text and to the next document."""
     rows = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     tail = F.floor(F.col("n_chars") / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - tail), F.substr("next_text", F.lit(1), tail)))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), anchors(F.col("text")).alias("own"), anchors(F.col("edited")).alias("other"), anchors(F.col("next_text")).alias("following"))
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), places(F.col("text")).alias("own"), places(F.col("edited")).alias("other"), places(F.col("next_text")).alias("following"))
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next")
+        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), F.col("own.at").alias("places"), fingerprint(F.col("other")).alias("edited_fingerprint"), F.col("other.at").alias("edited_places"),
+        likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next")
     )
