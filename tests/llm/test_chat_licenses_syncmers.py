@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -86,6 +87,25 @@ def test_edited_templates_are_found():
             assert found and found[0].license == name and found[0].coverage >= 0.85
 
 
+def test_templates_with_much_inserted_are_found_whole():
+    words = [w for w in re.split(r"\W+", L.TEMPLATES["MIT"]) if w]
+    half = len(words) // 2
+    note = [f"note{i}" for i in range(60)]
+    numbered = [w for i, word in enumerate(words) for w in ([str(i), word] if i % 6 == 5 else [word])]
+    marked = [w for i, word in enumerate(words) for w in (["REM", word] if i % 8 == 7 else [word])]
+    for text in (words[:half] + note + words[half:], words[:half] + note[:9] + words[half:], numbered, marked):
+        assert [(m.license, m.coverage, m.start, m.end) for m in scan(" ".join(["x", *text, "y"]))] == [("MIT", 1.0, 1, len(text) + 1)]
+
+
+def test_parts_are_reported_with_their_coverage():
+    """A part of a template; a whole notice stays before a part of another that overlaps it."""
+    words = L.TEMPLATES["MIT"].split()
+    (found,) = scan(" ".join(["x"] * 3 + words[: len(words) // 2] + ["y"] * 3))
+    assert found.license == "MIT" and 0.45 < found.coverage < 0.55 and found.start == 3
+    assert scan("released under the new management") == []
+    assert [(m.license, m.coverage) for m in scan(" ".join(L.TEMPLATES["Apache-2.0"].split()[:30]))] == [("Apache-2.0 line", 1.0)]
+
+
 def test_alignment_is_the_best_one_within_the_band():
     r = random.Random(7)
     for _ in range(200):

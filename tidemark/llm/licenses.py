@@ -2,20 +2,26 @@
 
 Templates are cut into word 3-grams; of every three consecutive ones the least hash is
 kept (winnowing) in an inverted index, so any run of five words that a text shares with
-a template yields a common fingerprint.  Fingerprints of a text that agree on where the
-template would begin are a candidate; a banded local alignment of words then gives how
-many words of the template are matched, and where.
+a template yields a common fingerprint.  Where enough different fingerprints of a template
+lie within reach of each other (``REACH`` times its words, more than any alignment spans),
+a local alignment of words over the whole of that reach gives how many words of the
+template are matched, and where, however many words stand between them as long as they
+cost less than the match on either side gains.
+
+A match of less than ``MIN_COVERAGE`` of the template is a part: it is reported, with its
+coverage, if it has the share of words that makes a candidate and ``LEAST_WORDS`` words.
 
 The index holds the templates only, whose number is a parameter; no text is shuffled.
 Defined results: a null or wordless text has no match; a template without words is never matched;
-of overlapping matches the one of more matched words stays (then the higher coverage,
+of overlapping matches a whole one stays before a part, then the one of more matched words (then the higher coverage,
 then the name first in order); repeated rows are reported each.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections import defaultdict
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +34,8 @@ from .arrowmap import free_name, map_texts
 from .decontaminate import find_sorted, winnow
 from .words import Words, inside_text, ngram_hashes, word_slices
 
-GRAM, SPAN, BAND, MIN_COVERAGE, MIN_PRINTS = 3, 3, 8, 0.8, 0.3
+GRAM, SPAN, REACH, MIN_COVERAGE, MIN_PRINTS = 3, 3, 3, 0.8, 0.3
+LEAST_WORDS = GRAM + SPAN - 1
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 # Public license notices.
@@ -57,39 +64,47 @@ class Match:
     end: int
 
 
-def align(text: np.ndarray, template: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matched words, first, end) of the best local alignment of the template with text words at distance
-    ``shift`` plus or minus ``band`` from the template's; (0, 0, 0) if nothing is matched."""
-    n, width = len(template), 2 * band + 1
-    score = [[0] * (width + 2) for _ in range(n + 1)]
-    move = [bytearray(width + 2) for _ in range(n + 1)]
-    best, at = 0, (0, 0)
-    for i in range(1, n + 1):
-        above, row, moves = score[i - 1], score[i], move[i]
-        for k in range(1, width + 1):
-            j = i - 1 + shift + k - 1 - band
-            if not 0 <= j < len(text):
-                continue
-            diagonal = above[k] + (MATCH if text[j] == template[i - 1] else MISMATCH)
-            value, step = max((0, 0), (diagonal, 1), (row[k - 1] + GAP, 2), (above[k + 1] + GAP, 3))
-            row[k], moves[k] = value, step
-            if value > best:
-                best, at = value, (i, k)
-    i, k = at
+def rows(text: np.ndarray, template: np.ndarray) -> Iterator[np.ndarray]:
+    """For each word of the template, the best scores of local alignments that end there and at each word of the text (from 1 on)."""
+    place = np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, dtype=np.int64)
+    for word in template:
+        made = np.maximum(row + GAP, 0)
+        made[1:] = np.maximum(made[1:], row[:-1] + np.where(text == word, MATCH, MISMATCH))
+        row = np.maximum.accumulate(made - GAP * place) + GAP * place
+        yield row
+
+
+def best_end(text: np.ndarray, template: np.ndarray) -> int:
+    """End of the best local alignment, 0 if there is none; of equal ones, that nearest to the middle of the text."""
+    top = np.zeros(len(text) + 1, dtype=np.int64)
+    for row in rows(text, template):
+        np.maximum(top, row, out=top)
+    if not top.any():
+        return 0
+    ends = np.flatnonzero(top == top.max())
+    return int(ends[np.abs(ends - len(text) // 2).argmin()])
+
+
+def align(text: np.ndarray, template: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
+    """(matched words, first, end) of the best local alignment of the template with the words of the text from ``shift - band``
+    to ``shift + band`` and the template's length; (0, 0, 0) if nothing is matched."""
+    low = max(0, shift - band)
+    text = text[low : max(low, shift + len(template) + band)]
+    score = np.array([np.zeros(len(text) + 1, dtype=np.int64), *rows(text, template)])
+    i, j = np.unravel_index(score.argmax(), score.shape)
     matched = first = end = 0
-    while i and move[i][k]:
-        j = i - 1 + shift + k - 1 - band
-        step = move[i][k]
-        if step == 1:
-            if text[j] == template[i - 1]:
-                matched, first = matched + 1, j
-                end = end or j + 1
+    while score[i, j]:
+        same = i and j and text[j - 1] == template[i - 1]
+        if i and j and score[i, j] == score[i - 1, j - 1] + (MATCH if same else MISMATCH):
+            i, j = i - 1, j - 1
+            if same:
+                matched, first, end = matched + 1, int(j), end or int(j) + 1
+        elif i and score[i, j] == score[i - 1, j] + GAP:
             i -= 1
-        elif step == 2:
-            k -= 1
         else:
-            i, k = i - 1, k + 1
-    return matched, first, end
+            j -= 1
+    return (matched, low + first, low + end) if matched else (0, 0, 0)
 
 
 class TemplateIndex:
@@ -121,11 +136,11 @@ class TemplateIndex:
         kept = winnow(grams, np.ones(len(grams), dtype=bool), SPAN) if len(grams) >= SPAN else np.arange(len(grams))
         return [(int(p), int(grams[p])) for p in kept]
 
-    def scan(self, words: Words, band: int = BAND, least: float = MIN_COVERAGE) -> list[list[Match]]:
+    def scan(self, words: Words, least: float = MIN_COVERAGE) -> list[list[Match]]:
         """The matches in each text, spans in words of the text."""
         of = words.text_of_word()
         out: list[list[Match]] = [[] for _ in range(len(words.first) - 1)]
-        starts: dict[tuple[int, int], list[int]] = defaultdict(list)
+        prints: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for n in range(1, GRAM + 1):
             grams = ngram_hashes(words.hash, n)
             where = np.flatnonzero(inside_text(of, n))
@@ -134,30 +149,46 @@ class TemplateIndex:
             hit, at = find_sorted(self.keys, grams[where])
             for p, k in zip(where[hit].tolist(), at.tolist(), strict=True):
                 for t, q in self.postings[k]:
-                    starts[int(of[p]), t].append(p - int(words.first[of[p]]) - q)
-        for (i, t), shifts in starts.items():
-            text = words.hash[words.first[i] : words.first[i + 1]]
-            shifts.sort()
+                    prints[int(of[p]), t].append((p - int(words.first[of[p]]), q))
+        for (i, t), found in prints.items():
+            out[i] += self._matches(words.hash[words.first[i] : words.first[i + 1]], t, sorted(found), least)
+        return [apart(m, least) for m in out]
+
+    def _matches(self, text: np.ndarray, t: int, found: list[tuple[int, int]], least: float) -> Iterator[Match]:
+        """Matches of template t that do not overlap; ``found`` are (place in the text, place in the template) of fingerprints."""
+        template = self.words[t]
+        reach, gram = REACH * len(template), min(GRAM, len(template))
+        todo = [(0, len(text), found)]
+        while todo:
+            low, high, found = todo.pop()
             a = 0
-            for b in range(1, len(shifts) + 1):
-                if b == len(shifts) or shifts[b] - shifts[b - 1] > band:
-                    if b - a >= MIN_PRINTS * self.prints[t]:
-                        # one hash that occurs often may chain far: the band is laid around each part of the chain
-                        for shift in range(shifts[(a + b) // 2] if shifts[b - 1] - shifts[a] <= band else shifts[a], shifts[b - 1] + 1, 2 * band):
-                            matched, first, end = align(text, self.words[t], shift, band)
-                            if matched >= least * len(self.words[t]):
-                                out[i].append(Match(self.names[t], matched / len(self.words[t]), matched, first, end))
-                    a = b
-        return [apart(m) for m in out]
-
-
-def apart(matches: list[Match]) -> list[Match]:
-    """Matches that do not overlap, the better ones first chosen; in order of place."""
+            for b in range(1, len(found) + 1):
+                if b < len(found) and found[b][0] - found[b - 1][0] <= reach:
+                    continue
+                group, a = found[a:b], b
+                if len({q for _, q in group}) < MIN_PRINTS * self.prints[t]:
+                    continue
+                lo, hi = max(low, group[0][0] - reach), min(high, group[-1][0] + gram + reach)
+                end = lo + best_end(text[lo:hi], template)
+                matched, first, end = align(text[lo:end], template, end - lo - 2 * len(template), len(template))
+                if not matched:  # equal hashes of different words
+                    continue
+                first, end = lo + first, lo + end
+                coverage = matched / len(template)
+                if coverage >= least or (matched >= LEAST_WORDS and coverage >= MIN_PRINTS):
+                    yield Match(self.names[t], coverage, matched, first, end)
+
+
+def apart(matches: list[Match], least: float = MIN_COVERAGE) -> list[Match]:
+    """Matches that do not overlap, whole ones and then the better ones first chosen; in order of place."""
     kept: list[Match] = []
-    for m in sorted(set(matches), key=lambda m: (-m.matched, -m.coverage, m.license, m.start)):
-        if all(m.end <= k.start or k.end <= m.start for k in kept):
-            kept.append(m)
-    return sorted(kept, key=lambda m: m.start)
+    starts: list[int] = []
+    for m in sorted(set(matches), key=lambda m: (m.coverage < least, -m.matched, -m.coverage, m.license, m.start)):
+        k = bisect(starts, m.start)
+        if (k == 0 or kept[k - 1].end <= m.start) and (k == len(kept) or m.end <= starts[k]):
+            kept.insert(k, m)
+            starts.insert(k, m.start)
+    return kept
 
 
 MATCHES = T.ArrayType(T.StructType([
