@@ -106,6 +106,18 @@ def test_parts_are_reported_with_their_coverage():
     assert [(m.license, m.coverage) for m in scan(" ".join(L.TEMPLATES["Apache-2.0"].split()[:30]))] == [("Apache-2.0 line", 1.0)]
 
 
+def test_every_repeat_is_found():
+    for name in ("MIT line", "CC-BY-NC-4.0 line", "Apache-2.0 line"):
+        for n in (2, 3, 100):
+            found = scan(" ".join([L.TEMPLATES[name]] * n))
+            size = found[0].end
+            assert [(m.license, m.coverage, m.start, m.end) for m in found] == [(name, 1.0, i * size, (i + 1) * size) for i in range(n)]
+    halves = L.TEMPLATES["MIT"].split()
+    k = len(halves) // 2
+    found = scan(" ".join(halves[:k] + ["other"] * 1000 + halves[k:]))
+    assert [m.license for m in found] == ["MIT", "MIT"] and sum(m.coverage for m in found) == 1.0
+
+
 def test_alignment_is_the_best_one_within_the_band():
     r = random.Random(7)
     for _ in range(200):

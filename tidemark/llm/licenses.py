@@ -6,7 +6,8 @@ a template yields a common fingerprint.  Where enough different fingerprints of
 lie within reach of each other (``REACH`` times its words, more than any alignment spans),
 a local alignment of words over the whole of that reach gives how many words of the
 template are matched, and where, however many words stand between them as long as they
-cost less than the match on either side gains.
+cost less than the match on either side gains.  What is left before and after it is aligned
+again until no fingerprints are left.
 
 A match of less than ``MIN_COVERAGE`` of the template is a part: it is reported, with its
 coverage, if it has the share of words that makes a candidate and ``LEAST_WORDS`` words.
@@ -177,6 +178,8 @@ class TemplateIndex:
                 coverage = matched / len(template)
                 if coverage >= least or (matched >= LEAST_WORDS and coverage >= MIN_PRINTS):
                     yield Match(self.names[t], coverage, matched, first, end)
+                todo.append((lo, first, [x for x in group if x[0] + gram <= first]))
+                todo.append((end, hi, [x for x in group if x[0] >= end]))
 
 
 def apart(matches: list[Match], least: float = MIN_COVERAGE) -> list[Match]:
