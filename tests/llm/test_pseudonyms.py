@@ -96,6 +96,25 @@ def test_formats_links_and_validation(spark):
     assert len(out[8][0]) == len(texts[8]) and "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" not in out[8][0]
 
 
+def test_values_beside_other_digits(spark):
+    plain = "4111 1111 1111 1111"
+    new = feistel_symbols("card", plain[:-1])
+    new += next(d for d in "0123456789" if luhn(new + d))
+    solid = texts_out(spark, ["4111111111111111"])[0][0]
+    iban = texts_out(spark, ["ES9121000418450200051332"])[0][0]
+    phone = "+1" + feistel_symbols("phone", " (743) 555-3824")
+    near = texts_out(spark, ["415-555-2671"])[0][0]
+    texts = {
+        f"{plain} 12/27": (f"{new} 12/27", ["card"]), "4111111111111111 123": (f"{solid} 123", ["card"]), f"12 {plain}": (f"12 {new}", ["card"]),
+        f"415-555-2671 {plain}": (f"{near} {new}", ["phone", "card"]), f"+1 (743) 555-3824 {plain} x": (f"{phone} {new} x", ["phone", "card"]),
+        "415-555-2671 415-555-2671": (f"{near} {near}", ["phone", "phone"]), f"1234 1234 {plain}": (f"1234 1234 {new}", ["card"]), f"{plain} {plain}": (f"{new} {new}", ["card", "card"]),
+        "ES9121000418450200051332 EUR": (f"{iban} EUR", ["iban"]), f"ES9121000418450200051332 {plain}": (f"{iban} {new}", ["iban", "card"]), "AB12 ES9121000418450200051332": (f"AB12 {iban}", ["iban"]),
+        "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20": ("1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20", []), "7 " * 3000: ("7 " * 3000, []),
+    }
+    for (t, expected), got in zip(texts.items(), texts_out(spark, list(texts)), strict=True):
+        assert got == expected, t[:60]
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = P.pseudonymise(df)._jdf.queryExecution().toString()

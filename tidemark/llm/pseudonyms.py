@@ -1,6 +1,6 @@
 """Format-preserving Feistel pseudonyms for personal data (operator 5), DataFrame functions only.
 
-Values are found by one regular expression, validated (Luhn, mod 97, calendar,
+Values are found by regular expressions, validated (Luhn, mod 97, calendar,
 octets, number plan) and replaced by a keyed permutation of their own format, so
 an equal value gets an equal pseudonym in every document and two values never
 share one.  Three Feistel networks do it, all with SHA-256 of key, round and the
@@ -15,6 +15,15 @@ other half as round function:
   their own radix, so no cycle walking is needed;
 * US social security numbers: 898 x 99 areas and groups x 9999 serials.
 
+A text is searched for mail addresses, secrets, account numbers, addresses, dates and
+social security numbers, what is left of it for card numbers, and what is left then
+for phone numbers.  An account or card number that fails its check as it was matched is
+searched for valid runs of its groups, those that cut no hyphenated number, standard card
+layouts and longer runs first: of a
+run of digits with single blanks or hyphens, card numbers are the whole run or its first
+13 to 19 digits in any layout, and any other 13 to 19 digits in groups of three or more
+that begin as the number plan of cards says (2221 to 2720, 3 to 6).
+
 One narrow stage, no shuffle, no Python.  Defined results: a null text stays null
 with 0 values; a number that fails its check, or a date that is not in the
 calendar, stays as it is; every other column is carried as it was.
@@ -38,10 +47,14 @@ PATTERNS = {
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9])(?!\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])(?![./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])(?!-[0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "card": r"(?<![0-9+])[0-9][0-9 -]{12,}+",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+for _kind in ("ip", "date", "ssn"):  # not inside a phone number
+    PATTERNS[_kind] = r"(?<!\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?)" + PATTERNS[_kind]
+SEARCHES = (("email", "secret", "iban", "ip", "date", "ssn"), ("card",), ("phone",))
+_CARD_START, _CARD_LAYOUT = "^(?:[3-6]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720)", "^(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}(?: [0-9]{4}){3}(?: [0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
+_PIECES = "array<struct<kind: string, value: string>>"
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 270, 271
 
 
@@ -205,27 +218,120 @@ def email(key: str, value: Column) -> Column:
     return let(F.regexp_extract(value, r"\.[A-Za-z]+$", 0), lambda tld: F.concat(symbols_in_place(key, "email", F.substr(value, F.lit(1), F.length(value) - F.length(tld))), tld))
 
 
-def pseudonym(key: str, value: Column) -> Column:
-    """struct(kind, value): the kind of a match and its pseudonym; null kind, and the match itself, where it isn't valid."""
-    whole = lambda kind: value.rlike(f"^(?:{PATTERNS[kind]})$")
+def _piece(kind: str | None, value: Column) -> Column:
+    return F.struct(F.lit(kind).cast("string").alias("kind"), value.alias("value"))
+
+
+def _sub_runs(value: Column, symbol: str, most: int, valid, rank, make, kind: str) -> Column:
+    """Pieces of a value: valid runs of its groups, those of the least rank and then the longest first chosen.
+
+    Groups are runs of ``symbol``; ``valid(w)`` and ``rank(w)`` see a run of at most ``most`` groups, all separated by one
+    character, as struct(a, b, n, last, cuts, text): its first and last group, its number of symbols, whether more groups would
+    be over 19 symbols, whether a hyphen ties it to the group before or after, and its text.
+    """
+
+    def of_groups(g: Column, gaps: Column) -> Column:
+        zero = F.expr("cast(array(0) as array<int>)")
+        sums = lambda sizes: F.aggregate(sizes, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+        def of_sums(symbols: Column, apart: Column, places: Column) -> Column:
+            # places: where each group begins; apart: separators before each group
+            start = lambda a: F.get(places, a)
+            end = lambda b: F.get(places, b) + F.length(F.get(g, b))
+            count = lambda a, b: F.get(symbols, b + 1) - F.get(symbols, a)
+            text = lambda a, b: F.substr(value, start(a) + 1, end(b) - start(a))
+
+            cuts = lambda a, b: (F.substr(value, start(a), F.lit(1)) == "-") | (F.substr(value, end(b) + 1, F.lit(1)) == "-")
+
+            def of_start(a: Column) -> Column:
+                bs = F.filter(F.sequence(a, F.least(a + most - 1, F.size(g) - 1)), lambda b: count(a, b).between(13, 34) & (F.get(apart, b + 1) - F.get(apart, a + 1) == b - a))
+                rows = F.transform(bs, lambda b: F.struct(a.alias("a"), b.alias("b"), count(a, b).alias("n"), (F.coalesce(count(a, b + 1), F.lit(99)) > 19).alias("last"), cuts(a, b).alias("cuts"), text(a, b).alias("text")))
+                return F.transform(F.filter(rows, valid), lambda w: F.struct(rank(w).alias("rank"), (-w["n"]).alias("less"), w["a"].alias("a"), w["b"].alias("b"), w["text"].alias("text")))
+
+            found = F.sort_array(F.flatten(F.transform(F.sequence(F.lit(0), F.size(g) - 1), of_start)))
+            none = F.expr("cast(array() as array<struct<a: int, b: int, text: string>>)")
+            row = lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), w["text"].alias("text"))
+            kept = F.sort_array(F.aggregate(found, none, lambda acc, w: F.when(F.exists(acc, lambda k: (k["a"] <= w["b"]) & (w["a"] <= k["b"])), acc).otherwise(F.concat(acc, F.array(row(w))))))
+
+            def pieces(k: Column) -> Column:
+                before = F.transform(k, lambda w, i: F.when(i > 0, end(F.get(k, i - 1)["b"])).otherwise(0))
+                each = F.zip_with(k, before, lambda w, p: F.array(_piece(None, F.substr(value, p + 1, start(w["a"]) - p)), _piece(kind, make(w["text"]))))
+                tail = F.when(F.size(k) > 0, F.substr(value, end(F.element_at(k, -1)["b"]) + 1, F.length(value))).otherwise(value)
+                return F.concat(F.flatten(each), F.array(_piece(None, tail)))
+
+            return let(kept, pieces)
+
+        places = F.zip_with(F.slice(sums(F.transform(gaps, F.length)), 2, F.size(g)), F.slice(sums(F.transform(g, F.length)), 1, F.size(g)), lambda x, y: x + y)
+        return let(F.struct(sums(F.transform(g, F.length)).alias("n"), sums(F.transform(gaps, F.length)).alias("apart"), places.alias("at")), lambda x: of_sums(x["n"], x["apart"], x["at"]))
+
+    both = F.struct(F.regexp_extract_all(value, F.lit(f"{symbol}+"), F.lit(0)).alias("g"), F.split(value, f"{symbol}+", -1).alias("gaps"))
+    return let(both, lambda x: of_groups(x["g"], x["gaps"]))
+
+
+def card_runs(key: str, value: Column) -> Column:
+    """Pieces of a run of digits."""
+
+    def valid(w: Column) -> Column:
+        planned = w["text"].rlike(_CARD_START) & ~w["text"].rlike("(?<![0-9])[0-9]{1,2}(?![0-9])")
+        return (w["n"] <= 19) & (planned | ((w["a"] == 0) & w["last"])) & let(digits(w["text"]), lambda d: luhn_digit(F.substr(d, F.lit(1), F.length(d) - 1)) == F.substr(d, F.length(d), F.lit(1)))
+
+    return _sub_runs(value, "[0-9]", 19, valid, lambda w: F.when(w["cuts"], 2).otherwise(0) + F.when(w["text"].rlike(_CARD_LAYOUT), 0).otherwise(1), lambda v: card(key, v), "card")
+
+
+def iban_runs(key: str, value: Column) -> Column:
+    """Pieces of a match of the account number's pattern that isn't valid as a whole."""
+    valid = lambda w: w["text"].rlike(f"^(?:{PATTERNS['iban']})$") & iban(key, w["text"]).isNotNull()
+    return _sub_runs(value, "[0-9A-Z]", 10, valid, lambda w: F.lit(0), lambda v: iban(key, v), "iban")
+
+
+def pieces(key: str, value: Column, kinds: tuple[str, ...]) -> Column:
+    """Array of struct(kind, value) of a match of one of the kinds' patterns; null kind, and the text itself, where it isn't valid."""
     made = {
         "email": lambda: email(key, value), "secret": lambda: symbols_in_place(key, "secret", value, "hex"), "iban": lambda: iban(key, value), "ip": lambda: ip(key, value),
-        "date": lambda: date(key, value), "ssn": lambda: ssn(key, value), "card": lambda: card(key, value), "phone": lambda: phone(key, value),
+        "date": lambda: date(key, value), "ssn": lambda: ssn(key, value), "phone": lambda: phone(key, value),
     }
-    row = F.when(F.lit(False), F.struct(F.lit("").alias("kind"), F.lit("").alias("value")))
-    for kind in PATTERNS:
-        row = row.when(whole(kind), F.struct(F.lit(kind).alias("kind"), made[kind]().alias("value")))
-    return let(row, lambda r: F.struct(F.when(r["value"].isNotNull(), r["kind"]).alias("kind"), F.coalesce(r["value"], value).alias("value")))
+    if kinds == ("card",):
+        return card_runs(key, value)
+    row = F.when(F.lit(False), _piece("", F.lit("")))
+    for kind in kinds:
+        row = row.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), _piece(kind, made[kind]()))
+    invalid = F.array(_piece(None, value))
+    if "iban" in kinds:
+        invalid = F.when(value.rlike(f"^(?:{PATTERNS['iban']})$"), iban_runs(key, value)).otherwise(invalid)
+    return let(row, lambda x: F.when(x["value"].isNotNull(), F.array(x)).otherwise(invalid))
+
+
+def _joined(parts: Column) -> Column:
+    """The pieces, those without a kind that follow each other made one."""
+    none = F.expr(f"cast(array() as {_PIECES})")
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        both = x["kind"].isNull() & last.isNotNull() & last["kind"].isNull()
+        return F.when(both, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(_piece(None, F.concat(last["value"], x["value"]))))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(parts, none, add)
+
+
+def searched(key: str, parts: Column, kinds: tuple[str, ...]) -> Column:
+    """The pieces, those without a kind searched for the kinds' patterns."""
+    pattern = "|".join(f"(?:{PATTERNS[k]})" for k in kinds)
+
+    def one(x: Column) -> Column:
+        found = F.concat(F.transform(F.regexp_extract_all(x["value"], F.lit(pattern), F.lit(0)), lambda m: pieces(key, m, kinds)), F.array(F.expr(f"cast(array() as {_PIECES})")))
+        new = F.zip_with(F.split(x["value"], pattern, -1), found, lambda plain, m: F.concat(F.array(_piece(None, plain)), m))
+        return F.when(x["kind"].isNull() & x["value"].rlike(pattern), F.flatten(new)).otherwise(F.array(x))
+
+    return _joined(F.flatten(F.transform(parts, one)))
 
 
 def pseudonymise(docs: DataFrame, *, key: str = KEY, text: str = "text", kinds: str | None = None) -> DataFrame:
     """The documents with their texts' personal data replaced; ``kinds`` names a column for the kinds found, in order."""
     found, t = free_name(docs, "found"), F.col(f"`{text}`")
-    matches = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
-    out = docs.withColumn(found, F.transform(matches, lambda m: pseudonym(key, m)))
-    values = F.concat(F.transform(F.col(found), lambda f: f["value"]), F.array(F.lit("")))
-    joined = F.array_join(F.zip_with(F.split(t, ANY, -1), values, lambda a, b: F.concat(a, b)), "")
-    out = out.withColumn(text, F.when(F.size(found) > 0, joined).otherwise(t))
+    out = docs.withColumn(found, F.when(t.rlike("[0-9@]"), F.array(_piece(None, t))))
+    for group in SEARCHES:  # a projection each: the analyzer takes only so many nested lambdas at once
+        out = out.withColumn(found, searched(key, F.col(found), group))
+    out = out.withColumn(text, F.when(F.size(found) > 0, F.array_join(F.col(found)["value"], "")).otherwise(t))
     if kinds:
         out = out.withColumn(kinds, F.coalesce(F.filter(F.transform(found, lambda f: f["kind"]), lambda k: k.isNotNull()), F.expr("cast(array() as array<string>)")))
     return out.drop(found)
