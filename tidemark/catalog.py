@@ -112,29 +112,40 @@ class Catalog:
 
     # -- constraints -----------------------------------------------------------------------------------------------
 
-    def verify(self, table: Table) -> Table:
-        """The table, if its rows keep its constraints."""
-        required = [c.name for c in table.columns if not c.nullable]
-        if required or table.checks:
-            broken = [F.max(F.col(f"`{c}`").isNull()) for c in required] + [F.max(F.coalesce(~F.expr(f"({k})"), F.lit(False))) for k in table.checks]
-            found = table.data.agg(*(b.alias(f"b{i}") for i, b in enumerate(broken))).first()
-            for name, bad in zip(required, found, strict=False):
-                if bad:
-                    raise NullError(f"column {name} of {table.name} takes no null")
-            for text, bad in zip(table.checks, found[len(required) :], strict=True):
-                if bad:
-                    raise ConstraintError(f"check {text} of {table.name} does not hold")
+    def verify(self, table: Table, rows: DataFrame, *, old: DataFrame | None = None, changed: set[str] | None = None) -> int:
+        """The number of ``rows``, which are new or changed in this version of the table, if they keep its constraints.
+
+        Nulls, checks and the number are one pass over ``rows``.  Keys: new rows are compared with each other and joined to the
+        ``old`` ones; without ``old`` the whole version is grouped, unless none of the key's columns is among those ``changed``.
+        """
+        required = [c.name for c in table.columns if not c.nullable and (changed is None or c.name in changed)]
+        broken = [F.max(F.col(f"`{c}`").isNull()) for c in required] + [F.max(F.coalesce(~F.expr(f"({k})"), F.lit(False))) for k in table.checks]
+        count, *found = rows.agg(F.count("*").alias("n"), *(b.alias(f"b{i}") for i, b in enumerate(broken))).first()
+        for name, bad in zip(required, found, strict=False):
+            if bad:
+                raise NullError(f"column {name} of {table.name} takes no null")
+        for text, bad in zip(table.checks, found[len(required) :], strict=True):
+            if bad:
+                raise ConstraintError(f"check {text} of {table.name} does not hold")
         for key in table.keys:
-            columns = [F.col(f"`{c}`") for c in key]
-            if table.data.dropna(subset=list(key)).groupBy(*columns).count().where("count > 1").limit(1).count():
+            if changed is not None and not changed & set(key):
+                continue
+            own = (table.data if old is None else rows).dropna(subset=list(key)).select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(key)))
+            twice = own.groupBy(*own.columns).count().where("count > 1").limit(1).count()
+            if not twice and old is not None:
+                before = old.dropna(subset=list(key)).select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(key)))
+                twice = before.join(own, own.columns, "left_semi").limit(1).count()
+            if twice:
                 raise ConstraintError(f"key ({', '.join(key)}) of {table.name} is not unique")
         for r in table.references:
+            if changed is not None and not changed & set(r.columns):
+                continue
             other = self.table(r.table)
             targets = r.targets or (other.keys[0] if other.keys else ())
-            own = table.data.dropna(subset=list(r.columns)).select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(r.columns)))
-            theirs = other.data.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(targets)))
             if len(r.columns) != len(targets):
                 raise SchemaError(f"reference of {table.name} to {r.table} does not name as many columns")
+            own = rows.dropna(subset=list(r.columns)).select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(r.columns)))
+            theirs = other.data.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(targets)))
             if own.join(theirs, own.columns, "left_anti").limit(1).count():
                 raise ConstraintError(f"a row of {table.name} refers to no row of {r.table}")
-        return table
+        return count

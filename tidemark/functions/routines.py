@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from ..errors import SqlError
@@ -12,6 +13,8 @@ STRFTIME = {
 }
 
 _SPACE = r"r'(?U)%s'"
+_RANDOM = re.compile(r"\b(?:rand|random|randn|uuid|shuffle|uniform|randstr|monotonically_increasing_id)\s*\(", re.I)
+_LONG = 600
 
 
 def literal(sql: str) -> str | None:
@@ -40,25 +43,45 @@ def strftime_pattern(code: str) -> str:
     return "".join([*out, f"'{plain}'" if plain else ""])
 
 
+_PERCENT = r"'\u0001'"
+
+
 def _strftime(a: str, b: str) -> str:
-    fmt, value = (a, b) if literal(a) and "%" in literal(a) else (b, a)
+    """The format comes first or second, whichever is a literal with a percent sign; else first."""
+    fmt, value = (b, a) if literal(b) and "%" in literal(b) and not (literal(a) and "%" in literal(a)) else (a, b)
     text = literal(fmt)
-    if text is None:
-        raise SqlError("strftime needs a literal format")
-    return f"date_format({value}, {quoted(strftime_pattern(text))})"
+    if text is not None:
+        return f"date_format({value}, {quoted(strftime_pattern(text))})"
+    made = f"replace({fmt}, '%%', {_PERCENT})"
+    for code, pattern in STRFTIME.items():
+        made = f"replace({made}, '%{code}', date_format({value}, '{pattern}'))"
+    return f"replace({made}, {_PERCENT}, '%')"
 
 
-def _timestamp(x: str) -> str:
-    return f"CAST({x} AS TIMESTAMP)"
+def micros(x: str) -> str:
+    """Microseconds since 1970-01-01 of a date, timestamp or text as it reads, whatever the session's time zone."""
+    t = f"CAST({x} AS TIMESTAMP_NTZ)"
+    return f"(datediff(CAST({t} AS DATE), DATE '1970-01-01') * 86400000000L + hour({t}) * 3600000000L + minute({t}) * 60000000L + CAST(extract(SECOND FROM {t}) * 1000000 AS BIGINT))"
 
 
-def micros(x: str) -> str:
-    return f"unix_micros({_timestamp(x)})"
+def _from_seconds(seconds: str) -> str:
+    """The timestamp so many seconds after 1970-01-01, without a zone."""
+    return f"(TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {seconds}))"
+
+
+def once(x: str, body: Callable[[str], str]) -> str:
+    """``body`` of a value that is computed once.  Catalyst computes a repeated deterministic text once by itself; one that
+    gives another value each time, or that would make the statement too long, is bound to a lambda's variable."""
+    if len(x) <= _LONG and not _RANDOM.search(x):
+        return body(x)
+    return f"element_at(transform(array({x}), __v -> {body('__v')}), 1)"
 
 
 def makes_date(sql: str) -> bool:
     """Whether an expression's text shows that it is a date."""
     s = sql.upper()
+    while s.startswith("(") and s.endswith(")"):
+        s = s[1:-1]
     return s.startswith(("DATE '", "TRY_CAST(") + ("MAKE_DATE(", "CURRENT_DATE", "LAST_DAY(", "DATE_ADD(", "ADD_MONTHS(")) and (not s.startswith("TRY_CAST(") or s.endswith("AS DATE)"))
 
 
@@ -66,7 +89,7 @@ def date_part(field: str, x: str) -> str:
     f = (literal(field) or field).lower()
     made = {
         "dow": f"(dayofweek({x}) - 1)", "dayofweek": f"(dayofweek({x}) - 1)", "isodow": f"(weekday({x}) + 1)", "doy": f"dayofyear({x})", "dayofyear": f"dayofyear({x})",
-        "week": f"weekofyear({x})", "epoch": f"({micros(x)} div 1000000)", "quarter": f"quarter({x})", "year": f"year({x})", "month": f"month({x})", "day": f"dayofmonth({x})",
+        "week": f"weekofyear({x})", "epoch": f"floor({micros(x)} / 1000000.0BD)", "quarter": f"quarter({x})", "year": f"year({x})", "month": f"month({x})", "day": f"dayofmonth({x})",
         "hour": f"hour({x})", "minute": f"minute({x})", "second": f"second({x})",
     }
     if f not in made:
@@ -96,7 +119,7 @@ def date_diff(unit: str, a: str, b: str) -> str:
     size = {"hour": 3600, "minute": 60, "second": 1}.get(u)
     if size is None:
         raise SqlError(f"unknown unit {u}")
-    floor = lambda x: f"CAST(floor({micros(x)} / {size * 1000000}) AS BIGINT)"
+    floor = lambda x: f"CAST(floor({micros(x)} / {size * 1000000}.0BD) AS BIGINT)"
     return f"({floor(b)} - {floor(a)})"
 
 
@@ -133,17 +156,23 @@ def _substr(s: str, start: str, size: str | None = None) -> str:
 
 def _typeof(x: str) -> str:
     return (
-        f"CASE WHEN typeof({x}) IN ('tinyint', 'smallint', 'int', 'bigint') THEN 'INTEGER' WHEN typeof({x}) = 'string' THEN 'VARCHAR' WHEN typeof({x}) IN ('float', 'double') THEN 'DOUBLE' "
-        f"WHEN typeof({x}) LIKE 'timestamp%' THEN 'TIMESTAMP' WHEN typeof({x}) LIKE 'interval%' THEN 'INTERVAL' ELSE upper(typeof({x})) END"
+        f"(CASE WHEN typeof({x}) IN ('tinyint', 'smallint', 'int', 'bigint') THEN 'INTEGER' WHEN typeof({x}) = 'string' THEN 'VARCHAR' WHEN typeof({x}) IN ('float', 'double') THEN 'DOUBLE' "
+        f"WHEN typeof({x}) LIKE 'timestamp%' THEN 'TIMESTAMP' WHEN typeof({x}) LIKE 'interval%' THEN 'INTERVAL' ELSE upper(typeof({x})) END)"
     )
 
 
-def _round_to(name: str) -> Callable[[str], str]:
-    return lambda x: f"({x} + ({name}({x}) - {x}))"  # a whole number of the argument's own type
+def _whole(up: int, down: int) -> Callable[[str], str]:
+    """A whole number of the argument's own type: its integral part, and ``up`` or ``down`` where a positive or negative part is cut off."""
+
+    def body(v: str) -> str:
+        rest = f"{v} % 1"  # NaN for infinite values, which stay
+        return f"(CASE WHEN {rest} > 0 AND {rest} < 1 THEN {v} - {rest} + {up} WHEN {rest} < 0 THEN {v} - {rest} - {down} ELSE {v} END)"
+
+    return lambda x: once(x, body)
 
 
 def _integer(x: str) -> str:
-    return f"coalesce(try_cast({_text(x)} AS BIGINT), try_cast(try_cast({_text(x)} AS DOUBLE) AS BIGINT))"
+    return once(x, lambda v: f"coalesce(try_cast({_text(v)} AS BIGINT), try_cast(try_cast({_text(v)} AS DOUBLE) AS BIGINT))")
 
 
 def _coalesce(*a: str) -> str:
@@ -192,7 +221,7 @@ SCALAR: dict[str, Callable[..., str]] = {
     "POSITION": lambda needle, text: f"CAST(locate({needle}, {text}) AS BIGINT)", "CHR": _chr, "CHAR": _chr,
     "TO_VARCHAR": _text, "TO_STRING": _text, "TO_NUMBER": lambda x: f"try_cast({_text(x)} AS DOUBLE)", "TO_NUMERIC": lambda x: f"try_cast({_text(x)} AS DOUBLE)", "TO_DOUBLE": lambda x: f"try_cast({_text(x)} AS DOUBLE)",
     "TO_INTEGER": _integer, "TO_INT": _integer,
-    "CEIL": _round_to("ceil"), "CEILING": _round_to("ceil"), "FLOOR": _round_to("floor"), "TRUNC": lambda x: f"({x} - {x} % 1)", "TRUNCATE": lambda x: f"({x} - {x} % 1)", "POW": _contains_all("power"),
+    "CEIL": _whole(1, 0), "CEILING": _whole(1, 0), "FLOOR": _whole(0, 1), "TRUNC": _whole(0, 0), "TRUNCATE": _whole(0, 0), "POW": _contains_all("power"),
     "LOG": lambda *a: f"log10({a[0]})" if len(a) == 1 else f"log({a[0]}, {a[1]})", "MOD": _contains_all("try_mod"), "ARRAY_LENGTH": _contains_all("size"), "ARRAY_SIZE": _contains_all("size"),
     "CURRENT_DATE": _today, "TODAY": _today, "GETDATE": _today, "NOW": _now, "CURRENT_TIMESTAMP": _now,
     "DATE": lambda x: f"try_cast({x} AS DATE)", "TIMESTAMP": lambda x: f"try_cast({x} AS TIMESTAMP_NTZ)", "TO_DATE": lambda x: f"try_cast({x} AS DATE)",
@@ -200,30 +229,36 @@ SCALAR: dict[str, Callable[..., str]] = {
     "DATE_TRUNC": date_trunc, "DATE_PART": date_part, "DATEPART": date_part, "EXTRACT": date_part,
     "DATEDIFF": lambda *a: date_diff(*a) if len(a) == 3 else f"datediff(CAST({a[0]} AS DATE), CAST({a[1]} AS DATE))", "DATE_DIFF": lambda *a: date_diff(*a) if len(a) == 3 else f"datediff(CAST({a[0]} AS DATE), CAST({a[1]} AS DATE))",
     "DATE_ADD": _added("+"), "DATEADD": _added("+"), "DATE_SUB": _added("-"), "STRFTIME": _strftime, "FORMAT_DATE": _strftime,
-    "EPOCH": lambda x: f"({micros(x)} div 1000000)", "EPOCH_MS": lambda x: f"unix_millis({_timestamp(x)})", "AGE": _age,
-    "TO_TIMESTAMP": lambda x: f"CAST(timestamp_seconds({x}) AS TIMESTAMP_NTZ)" if literal(x) is None else f"try_cast({x} AS TIMESTAMP_NTZ)",
+    "EPOCH": lambda x: f"CAST(floor({micros(x)} / 1000000.0BD) AS BIGINT)", "EPOCH_MS": lambda x: f"CAST(floor({micros(x)} / 1000.0BD) AS BIGINT)", "AGE": _age,
+    "TO_TIMESTAMP": lambda x: _from_seconds(x) if literal(x) is None else f"try_cast({x} AS TIMESTAMP_NTZ)",
     "DAYNAME": lambda d: f"date_format({d}, 'EEEE')", "MONTHNAME": lambda d: f"date_format({d}, 'MMMM')",
 }
 
-AGGREGATE_NAMES = {"STDEV": "stddev_samp", "STDDEV": "stddev_samp", "VARIANCE": "var_samp"}
+AGGREGATE_NAMES = {"STDEV": "stddev_samp", "STDDEV": "stddev_samp", "VARIANCE": "var_samp", "ARG_MIN": "min_by", "ARG_MAX": "max_by"}
 
 
 def cast(x: str, kind: str, generic: bool = False) -> str:
     """CAST that gives null where the value does not convert.  ``generic`` also takes dates and
     timestamps to numbers and back, by way of the value's own type."""
+    return once(x, lambda v: _cast(v, kind, generic))
+
+
+def _cast(x: str, kind: str, generic: bool) -> str:
     if kind == "STRING":
         return _text(x)
+    if kind.startswith("INTERVAL"):
+        return f"CAST(NULL AS {kind})"  # no value converts to an interval
     if kind == "BOOLEAN":
-        return f"CASE lower({_text(x)}) WHEN 'on' THEN true WHEN 'off' THEN false ELSE try_cast({_text(x) if generic else x} AS BOOLEAN) END"
+        return f"(CASE lower({_text(x)}) WHEN 'on' THEN true WHEN 'off' THEN false ELSE try_cast({_text(x) if generic else x} AS BOOLEAN) END)"
     if kind == "BIGINT" and not generic:
         return f"coalesce(try_cast({x} AS BIGINT), try_cast(try_cast({x} AS DOUBLE) AS BIGINT))"
     if kind == "BIGINT":
         return (
-            f"CASE WHEN typeof({x}) = 'date' THEN CAST(datediff(try_cast({_text(x)} AS DATE), DATE '1970-01-01') AS BIGINT) WHEN typeof({x}) LIKE 'timestamp%' THEN unix_micros(try_cast({_text(x)} AS TIMESTAMP)) "
-            f"WHEN typeof({x}) = 'boolean' THEN if({_text(x)} = 'true', 1L, 0L) ELSE {_integer(x)} END"
+            f"(CASE WHEN typeof({x}) = 'date' THEN CAST(datediff(try_cast({_text(x)} AS DATE), DATE '1970-01-01') AS BIGINT) WHEN typeof({x}) LIKE 'timestamp%' THEN {micros(f'try_cast({_text(x)} AS TIMESTAMP_NTZ)')} "
+            f"WHEN typeof({x}) = 'boolean' THEN if({_text(x)} = 'true', 1L, 0L) ELSE {_integer(x)} END)"
         )
     if kind == "DATE" and generic:
-        return f"CASE WHEN typeof({x}) IN ('int', 'bigint') THEN date_add(DATE '1970-01-01', try_cast({_text(x)} AS INT)) ELSE try_cast({_text(x)} AS DATE) END"
+        return f"(CASE WHEN typeof({x}) IN ('int', 'bigint') THEN date_add(DATE '1970-01-01', try_cast({_text(x)} AS INT)) ELSE try_cast({_text(x)} AS DATE) END)"
     if kind == "TIMESTAMP_NTZ" and generic:
-        return f"CASE WHEN typeof({x}) IN ('int', 'bigint') THEN CAST(timestamp_micros(try_cast({_text(x)} AS BIGINT)) AS TIMESTAMP_NTZ) ELSE try_cast({_text(x)} AS TIMESTAMP_NTZ) END"
+        return f"(CASE WHEN typeof({x}) IN ('int', 'bigint') THEN {_from_seconds(f'try_cast({_text(x)} AS DECIMAL(20, 0)) / 1000000')} ELSE try_cast({_text(x)} AS TIMESTAMP_NTZ) END)"
     return f"try_cast({x} AS {kind})"

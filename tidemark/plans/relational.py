@@ -73,6 +73,9 @@ SQL: dict[str, str | tuple[str, str]] = {
     "array_agg": ("SELECT n_regionkey AS k, ARRAY_LENGTH(ARRAY_AGG(n_name)) AS n, ARRAY_JOIN(ARRAY_AGG(n_name ORDER BY n_name), '+') AS names FROM nation GROUP BY n_regionkey",
         "SELECT n_regionkey AS k, CAST(COUNT(*) AS INTEGER) AS n, STRING_AGG(n_name, '+' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
     "having": "SELECT o_custkey AS k, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey HAVING COUNT(*) >= 3 AND SUM(o_totalprice) > 100000",
+    "having_no_group": ("SELECT n_name AS name, n_nationkey AS k FROM nation HAVING n_nationkey > 20 AND name <> 'CHINA'", "SELECT n_name AS name, n_nationkey AS k FROM nation WHERE n_nationkey > 20 AND n_name <> 'CHINA'"),
+    "array_agg_mixed": ("SELECT n_regionkey AS k, ARRAY_JOIN(ARRAY_AGG(n_name ORDER BY LENGTH(n_name) DESC, n_name), '+') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey AS k, STRING_AGG(n_name, '+' ORDER BY LENGTH(n_name) DESC, n_name) AS names FROM nation GROUP BY n_regionkey"),
+    "agg_arg_min": "SELECT c_nationkey AS nat, ARG_MIN(c_custkey, -c_custkey) AS lo, ARG_MAX(c_name, c_custkey) AS hi FROM customer GROUP BY c_nationkey",
     "having_alias": "SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING n > 3",
     "group_by_alias_ordinal": "SELECT EXTRACT(YEAR FROM o_orderdate) AS y, o_orderstatus AS s, COUNT(*) AS n FROM orders GROUP BY 1, s",
     "group_nulls": "SELECT NULLIF(o_orderstatus, 'F') AS s, COUNT(*) AS n FROM orders GROUP BY NULLIF(o_orderstatus, 'F')",
@@ -97,6 +100,9 @@ SQL: dict[str, str | tuple[str, str]] = {
     "win_over_group": "SELECT c_nationkey AS nat, COUNT(*) AS n, RANK() OVER (ORDER BY COUNT(*) DESC, c_nationkey) AS rk FROM customer GROUP BY c_nationkey",
     "qualify_top1": "SELECT o_custkey AS cust, o_orderkey AS k, o_totalprice AS price FROM orders QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1",
     "qualify_alias": "SELECT c_mktsegment AS seg, c_custkey AS k, RANK() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rk FROM customer QUALIFY rk <= 3",
+    "qualify_hidden_order": "SELECT o_orderkey AS k FROM orders QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1 ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
+    "qualify_aggregate_alias": ("SELECT o_orderstatus AS s, o_custkey AS c, SUM(o_totalprice) AS total FROM orders GROUP BY o_orderstatus, o_custkey QUALIFY RANK() OVER (PARTITION BY o_orderstatus ORDER BY total DESC, o_custkey) <= 2 ORDER BY total",
+        "SELECT s, c, total FROM (SELECT s, c, total, RANK() OVER (PARTITION BY s ORDER BY total DESC, c) AS r FROM (SELECT o_orderstatus AS s, o_custkey AS c, SUM(o_totalprice) AS total FROM orders GROUP BY ALL)) WHERE r <= 2"),
     # order and limits
     "order_limit_offset": "SELECT o_orderkey AS k, o_totalprice AS price FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5",
     "order_ordinal": "SELECT n_regionkey AS r, n_name AS name FROM nation ORDER BY 1 DESC, 2 LIMIT 7",
@@ -134,13 +140,15 @@ SQL: dict[str, str | tuple[str, str]] = {
     "fn_string_build": ("SELECT n_nationkey AS k, CONCAT(n_name, NULL, '-', n_regionkey) AS c, CONCAT_WS('/', n_name, NULL, 'x') AS w, ASCII(n_name) AS a, CHR(8364) AS euro, CHAR(65) AS letter FROM nation",
         "SELECT n_nationkey AS k, CONCAT(n_name, NULL, '-', n_regionkey) AS c, CONCAT_WS('/', n_name, NULL, 'x') AS w, ASCII(n_name) AS a, CHR(8364) AS euro, CHR(65) AS letter FROM nation"),
     "fn_math_round": "SELECT o_orderkey AS k, ABS(-o_totalprice) AS a, CEIL(o_totalprice) AS c, FLOOR(-o_totalprice) AS f, ROUND(o_totalprice, 1) AS r, TRUNC(o_totalprice) AS t, CAST(SIGN(o_totalprice - 100000.0) AS INTEGER) AS s FROM orders",
+    "fn_math_compound": ("SELECT l_orderkey AS k, l_linenumber AS n, FLOOR(l_extendedprice - l_discount) AS f, CEIL(l_extendedprice + l_tax) AS c, TRUNC(l_extendedprice * -1.5) AS t, TRUNCATE(l_quantity * 2 - 0.7) AS t2, FLOOR(CASE WHEN l_quantity > 25 THEN -l_quantity / 3 ELSE l_quantity / 3 END) AS fc, CEIL(FLOOR(l_tax * 100 + 10.5) / 3) AS nested, FLOOR(-l_quantity + 0.5) AS neg, CAST(FLOOR(l_linenumber - 3) AS BIGINT) AS whole FROM lineitem",
+        "SELECT l_orderkey AS k, l_linenumber AS n, FLOOR(l_extendedprice - l_discount) AS f, CEIL(l_extendedprice + l_tax) AS c, TRUNC(l_extendedprice * -1.5) AS t, TRUNC(l_quantity * 2 - 0.7) AS t2, FLOOR(CASE WHEN l_quantity > 25 THEN -l_quantity / 3 ELSE l_quantity / 3 END) AS fc, CEIL(FLOOR(l_tax * 100 + 10.5) / 3) AS nested, FLOOR(-l_quantity + 0.5) AS neg, CAST(FLOOR(l_linenumber - 3) AS BIGINT) AS whole FROM lineitem"),
     "fn_math_power": "SELECT p_partkey AS k, ROUND(SQRT(p_retailprice), 6) AS s, ROUND(POWER(p_size, 2), 4) AS p, ROUND(POW(2, p_size), 2) AS p2, ROUND(LN(p_retailprice), 8) AS ln, ROUND(LOG10(p_retailprice), 8) AS l10, ROUND(LOG2(p_retailprice), 8) AS l2, ROUND(LOG(p_retailprice), 8) AS l, ROUND(EXP(p_size / 10.0), 6) AS e FROM part",
     "fn_math_trig": ("SELECT n_nationkey AS k, ROUND(SIN(n_nationkey), 9) AS s, ROUND(COS(n_nationkey), 9) AS c, ROUND(TAN(n_nationkey), 7) AS t, ROUND(PI(), 9) AS pi, ROUND(E(), 9) AS e, ROUND(DEGREES(n_nationkey), 7) AS d, ROUND(RADIANS(n_nationkey), 9) AS r FROM nation",
         "SELECT n_nationkey AS k, ROUND(SIN(n_nationkey), 9) AS s, ROUND(COS(n_nationkey), 9) AS c, ROUND(TAN(n_nationkey), 7) AS t, ROUND(PI(), 9) AS pi, ROUND(EXP(1), 9) AS e, ROUND(DEGREES(n_nationkey), 7) AS d, ROUND(RADIANS(n_nationkey), 9) AS r FROM nation"),
     "fn_math_mod_log": ("SELECT n_nationkey AS k, MOD(n_nationkey, 3) AS m, MOD(n_nationkey, n_regionkey) AS m0, ROUND(LOG(2, n_nationkey + 1), 8) AS lb FROM nation", "SELECT n_nationkey AS k, n_nationkey % 3 AS m, n_nationkey % NULLIF(n_regionkey, 0) AS m0, ROUND(LOG(2, n_nationkey + 1), 8) AS lb FROM nation"),
     "fn_null": ("SELECT n_nationkey AS k, COALESCE(NULLIF(n_regionkey, 1), -1) AS c, IFNULL(NULLIF(n_regionkey, 1), -2) AS i, NVL(NULLIF(n_regionkey, 1), -3) AS nv, GREATEST(n_nationkey, n_regionkey, 3) AS g, LEAST(n_nationkey, NULL, 3) AS l, IIF(n_nationkey > 5, 'a', 'b') AS iif, IF(n_nationkey > 5, 1, 0) AS one, ISNULL(NULLIF(n_regionkey, 1)) AS isn, ISNAN(n_nationkey) AS nan FROM nation",
         "SELECT n_nationkey AS k, COALESCE(NULLIF(n_regionkey, 1), -1) AS c, IFNULL(NULLIF(n_regionkey, 1), -2) AS i, COALESCE(NULLIF(n_regionkey, 1), -3) AS nv, GREATEST(n_nationkey, n_regionkey, 3) AS g, LEAST(n_nationkey, NULL, 3) AS l, CASE WHEN n_nationkey > 5 THEN 'a' ELSE 'b' END AS iif, CASE WHEN n_nationkey > 5 THEN 1 ELSE 0 END AS one, NULLIF(n_regionkey, 1) IS NULL AS isn, FALSE AS nan FROM nation"),
-    "fn_typeof": ("SELECT TYPEOF(n_nationkey) AS i, TYPEOF(n_name) AS s, TYPEOF(1.5::DOUBLE) AS d, TYPEOF(TRUE) AS b FROM nation LIMIT 1", "SELECT 'INTEGER' AS i, 'VARCHAR' AS s, 'DOUBLE' AS d, 'BOOLEAN' AS b"),
+    "fn_typeof": ("SELECT TYPEOF(n_nationkey) AS i, TYPEOF(n_name) AS s, TYPEOF(1.5::DOUBLE) AS d, TYPEOF(TRUE) AS b FROM nation", "SELECT 'INTEGER' AS i, 'VARCHAR' AS s, 'DOUBLE' AS d, 'BOOLEAN' AS b FROM nation"),
     "fn_date_parts": "SELECT o_orderkey AS k, EXTRACT(YEAR FROM o_orderdate) AS y, EXTRACT(MONTH FROM o_orderdate) AS m, EXTRACT(DAY FROM o_orderdate) AS d, EXTRACT(DOW FROM o_orderdate) AS dow, EXTRACT(DOY FROM o_orderdate) AS doy, EXTRACT(WEEK FROM o_orderdate) AS w, EXTRACT(QUARTER FROM o_orderdate) AS q, DATE_PART('hour', o_orderdate) AS h FROM orders",
     "fn_date_fields": ("SELECT event_id AS k, YEAR(ts) AS y, MONTH(ts) AS m, DAY(ts) AS d, HOUR(ts) AS h, MINUTE(ts) AS mi, SECOND(ts) AS s, EPOCH(ts) AS e, EPOCH_MS(ts) AS ms FROM events",
         "SELECT event_id AS k, YEAR(ts) AS y, MONTH(ts) AS m, DAY(ts) AS d, HOUR(ts) AS h, MINUTE(ts) AS mi, SECOND(ts) AS s, CAST(FLOOR(EPOCH_US(ts) / 1000000) AS BIGINT) AS e, EPOCH_US(ts) // 1000 AS ms FROM events"),
@@ -154,10 +162,16 @@ SQL: dict[str, str | tuple[str, str]] = {
         "SELECT o_orderkey AS k, DAYNAME(o_orderdate) AS d, MONTHNAME(o_orderdate) AS m, LAST_DAY(o_orderdate) AS l, STRFTIME(o_orderdate, '%Y/%m/%d') AS f, MAKE_DATE(2024, 2, 29) AS leap FROM orders"),
     "fn_date_make": ("SELECT DATE('2024-03-01') AS d, TIMESTAMP('2024-03-01 10:11:12') AS t, TO_DATE('2024-13-01') AS bad, TO_TIMESTAMP(86400) AS ts, AGE(DATE '2024-03-01', DATE '2024-02-01') = INTERVAL '29' DAY AS age, TODAY() = CURRENT_DATE AS today, NOW() <= CURRENT_TIMESTAMP AS now",
         "SELECT DATE '2024-03-01' AS d, TIMESTAMP '2024-03-01 10:11:12' AS t, CAST(NULL AS DATE) AS bad, TIMESTAMP '1970-01-02' AS ts, TRUE AS age, TRUE AS today, TRUE AS now"),
+    "fn_date_compound": ("SELECT o_orderkey AS k, AGE(CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) - INTERVAL '3' DAY) = INTERVAL '3' DAY AS age, YEAR(CAST(o_orderdate AS DATE) + INTERVAL '40' DAY) AS y, DATE_DIFF('day', CAST(o_orderdate AS DATE) - INTERVAL '1' DAY, CAST(o_orderdate AS DATE) + INTERVAL '1' DAY) AS d, DATE_ADD('day', o_orderkey % 5 + 1, o_orderdate) AS a, EPOCH(o_orderdate + INTERVAL '1' HOUR) AS e, EXTRACT(DAY FROM o_orderdate + INTERVAL '1' DAY) AS day FROM orders",
+        "SELECT o_orderkey AS k, TRUE AS age, YEAR(CAST(o_orderdate AS DATE) + INTERVAL 40 DAY) AS y, CAST(2 AS BIGINT) AS d, CAST(o_orderdate + TO_DAYS(CAST(o_orderkey % 5 + 1 AS INTEGER)) AS DATE) AS a, EPOCH_US(o_orderdate + INTERVAL 1 HOUR) // 1000000 AS e, EXTRACT(DAY FROM o_orderdate + INTERVAL 1 DAY) AS day FROM orders"),
+    "fn_strftime_column": ("SELECT o_orderkey AS k, STRFTIME(CASE WHEN o_orderkey % 2 = 0 THEN '%Y/%m' ELSE '%d of %B %%' END, o_orderdate) AS f FROM orders", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN STRFTIME(o_orderdate, '%Y/%m') ELSE STRFTIME(o_orderdate, '%d of %B %%') END AS f FROM orders"),
+    "fn_time": ("SELECT n_nationkey AS k, CURRENT_TIME() IS NOT NULL AS now, CAST('10:11:12' AS TIME) = TIME '10:11:12' AS t, CAST('x' AS TIME) IS NULL AS bad, HOUR(TIME '10:11:12') AS h, MINUTE(TIME '10:11:12') AS m, SECOND(TIME '10:11:12') AS s FROM nation", "SELECT n_nationkey AS k, TRUE AS now, TRUE AS t, TRUE AS bad, 10 AS h, 11 AS m, 12 AS s FROM nation"),
+    "cast_postfix": ("SELECT o_orderkey AS k, CASE WHEN o_totalprice > 100000 THEN '1' ELSE 'x' END::INTEGER AS big, SPLIT(o_orderpriority, '-')[0]::INTEGER AS pr, CAST(o_orderstatus AS INTERVAL) IS NULL AS i FROM orders", "SELECT o_orderkey AS k, TRY_CAST(CASE WHEN o_totalprice > 100000 THEN '1' ELSE 'x' END AS BIGINT) AS big, CAST(SPLIT_PART(o_orderpriority, '-', 1) AS BIGINT) AS pr, TRUE AS i FROM orders"),
+    "like_backslash": "SELECT n_nationkey AS k, 'a\\b' LIKE 'a\\b' AS same, n_name || '\\' LIKE '%\\' AS tail, n_name LIKE '%' || '\\' || '%' AS none, n_name LIKE LEFT(n_name, 2) || '%' AS head, n_name ILIKE 'c\\_%' AS under FROM nation",
     "fn_cast": ("SELECT CAST('42' AS INTEGER) AS a, CAST('3.7' AS INTEGER) AS b, CAST('x' AS INTEGER) AS c, TRY_CAST('1.5' AS DOUBLE) AS d, CAST(12.345 AS DECIMAL(10, 2)) AS e, CAST(7 AS VARCHAR) AS f, CAST('yes' AS BOOLEAN) AS g, CAST('on' AS BOOLEAN) AS h, CAST('2024-02-30' AS DATE) AS i, '2024-02-29'::DATE AS j, CAST(TRUE AS INTEGER) AS l, 3.9::DOUBLE::INTEGER AS m",
         "SELECT 42::BIGINT AS a, 3::BIGINT AS b, NULL::BIGINT AS c, 1.5::DOUBLE AS d, 12.35::DECIMAL(10, 2) AS e, '7' AS f, TRUE AS g, TRUE AS h, NULL::DATE AS i, DATE '2024-02-29' AS j, 1::BIGINT AS l, 3::BIGINT AS m"),
-    "fn_cast_dates": ("SELECT o_orderkey AS k, CAST(CAST(o_orderdate AS DATE) AS INTEGER) AS days, CAST(o_orderdate AS INTEGER) AS micros, CAST(o_orderkey AS DATE) AS d, CAST(o_orderkey AS TIMESTAMP) AS t FROM orders WHERE o_orderkey < 2000",
-        "SELECT o_orderkey AS k, CAST(CAST(o_orderdate AS DATE) - DATE '1970-01-01' AS BIGINT) AS days, EPOCH_US(o_orderdate) AS micros, DATE '1970-01-01' + CAST(o_orderkey AS INTEGER) AS d, TIMESTAMP '1970-01-01' + TO_MICROSECONDS(o_orderkey) AS t FROM orders WHERE o_orderkey < 2000"),
+    "fn_cast_dates": ("SELECT o_orderkey AS k, CAST(CAST(o_orderdate AS DATE) AS INTEGER) AS days, CAST(o_orderdate AS INTEGER) AS micros, CAST(o_orderkey AS DATE) AS d, CAST(o_orderkey AS TIMESTAMP) AS t FROM orders",
+        "SELECT o_orderkey AS k, CAST(CAST(o_orderdate AS DATE) - DATE '1970-01-01' AS BIGINT) AS days, EPOCH_US(o_orderdate) AS micros, DATE '1970-01-01' + CAST(o_orderkey AS INTEGER) AS d, TIMESTAMP '1970-01-01' + TO_MICROSECONDS(o_orderkey) AS t FROM orders"),
     "fn_to": ("SELECT TO_VARCHAR(n_nationkey) AS a, TO_STRING(n_name) AS b, TO_NUMBER('1.5') AS c, TO_INTEGER('7.9') AS d, TO_DOUBLE('x') AS e, TO_INT('12') AS f FROM nation",
         "SELECT CAST(n_nationkey AS VARCHAR) AS a, n_name AS b, CAST(1.5 AS DOUBLE) AS c, CAST(7 AS BIGINT) AS d, CAST(NULL AS DOUBLE) AS e, CAST(12 AS BIGINT) AS f FROM nation"),
 }

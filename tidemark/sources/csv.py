@@ -9,12 +9,13 @@ from pyspark.sql import types as T
 from ..errors import DataError
 
 
-def read_csv(spark: SparkSession, path: str, *, delimiter: str = ",", header: bool = True, schema: T.StructType | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, *, delimiter: str = ",", header: bool = True, schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
     """Short rows are filled with nulls and long ones cut; without a header the columns are col0, col1, ...
 
-    No pass is made to guess types: give a schema to have them.
+    No pass is made to guess types: give a schema to have them.  A quoted field may hold line ends, so a file is read by one
+    task from its beginning; say ``multi_line=False`` for files whose records are single lines to have large ones split.
     """
-    reader = spark.read.option("sep", delimiter).option("header", header).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("nullValue", "").option("emptyValue", "")
+    reader = spark.read.option("multiLine", multi_line).option("lineSep", "\n").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("sep", delimiter).option("header", header).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("nullValue", "").option("emptyValue", "")
     df = (reader.schema(schema) if schema else reader.option("inferSchema", False)).csv(path)
     if not df.columns:
         raise DataError(f"{path} is empty")
@@ -38,8 +39,9 @@ def parse_csv(spark: SparkSession, text: str, *, delimiter: str = ",", header: b
 
 
 def write_csv(df: DataFrame, path: str, *, delimiter: str = ",", header: bool = True, mode: str = "overwrite") -> None:
-    """Null is an empty field; fields with a delimiter, quote or line end are quoted, so that read_csv gives them back."""
-    df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns)).write.mode(mode).option("sep", delimiter).option("header", header).option("quote", '"').option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path)
+    """Null is an empty field; fields with a delimiter, quote or line end are quoted, and padding stays, so that read_csv gives them back."""
+    writer = df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns)).write.mode(mode).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    writer.option("sep", delimiter).option("header", header).option("quote", '"').option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path)
 
 
 def format_csv(df: DataFrame, *, delimiter: str = ",", header: bool = True) -> str:

@@ -8,15 +8,16 @@ from .errors import SchemaError
 
 # Spellings of the types.
 _NAMES = {
-    "BIGINT": "INTEGER INT INT4 INT8 BIGINT SMALLINT TINYINT HUGEINT UBIGINT UINT64 UINT32 UINT16 UINT8 LONG",
-    "DOUBLE": "FLOAT REAL FLOAT4 FLOAT8 DOUBLE",
-    "STRING": "VARCHAR TEXT CHAR STRING BLOB BPCHAR CHARACTER VARYING",
-    "BOOLEAN": "BOOLEAN BOOL BIT",
-    "DATE": "DATE",
-    "TIMESTAMP_NTZ": "TIMESTAMP DATETIME TIMESTAMPTZ TIMESTAMP_NTZ",
-    "TIME": "TIME TIMETZ",
+    "BIGINT": ("INTEGER", "INT", "INT4", "INT8", "BIGINT", "SMALLINT", "TINYINT", "HUGEINT", "UBIGINT", "UINT64", "UINT32", "UINT16", "UINT8", "LONG"),
+    "DOUBLE": ("FLOAT", "REAL", "FLOAT4", "FLOAT8", "DOUBLE"),
+    "STRING": ("VARCHAR", "TEXT", "CHAR", "STRING", "BLOB", "BPCHAR", "CHARACTER", "VARYING"),
+    "BOOLEAN": ("BOOLEAN", "BOOL", "BIT"),
+    "DATE": ("DATE",),
+    "TIMESTAMP_NTZ": ("TIMESTAMP", "DATETIME", "TIMESTAMPTZ", "TIMESTAMP_NTZ"),
+    "TIME": ("TIME", "TIMETZ"),
+    "INTERVAL DAY TO SECOND": ("INTERVAL",),
 }
-SPARK_NAME = {word: kind for kind, words in _NAMES.items() for word in words.split()}
+SPARK_NAME = {word: kind for kind, words in _NAMES.items() for word in words}
 _SHOWN = {"bigint": "INTEGER", "int": "INTEGER", "smallint": "INTEGER", "tinyint": "INTEGER", "double": "DOUBLE", "float": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP"}
 
 
