@@ -7,19 +7,21 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from tidemark.llm import kneser_ney as K
 from tidemark.llm import toxicity as X
+from tidemark.llm.words import buffers
 
 
 def brute_model(texts):
-    """Interpolated modified Kneser-Ney by its definition, on dictionaries."""
+    """Probability of the last byte of an n-gram, by the definition of interpolated modified Kneser-Ney, on dictionaries."""
     table = {}
     level = collections.Counter()
     for t in texts:
-        s = [K._MARKS["\n"]] * 3 + [K._symbol(c) for c in t]
-        level.update(tuple(s[i - 3 : i + 1]) for i in range(3, len(s)))
-    for n in (4, 3, 2, 1):
+        s = bytes(K.ORDER - 1) + t.encode()
+        level.update(s[i - K.ORDER + 1 : i + 1] for i in range(K.ORDER - 1, len(s)))
+    for n in range(K.ORDER, 0, -1):
         of = collections.Counter(level.values())
         y = of[1] / (of[1] + 2 * of[2]) if of[1] else 0
         d = {k: max(0.0, min(k, k - (k + 1) * y * of[k + 1] / of[k])) if of[k] and of[1] else k / 2 for k in (1, 2, 3)}
@@ -32,7 +34,7 @@ def brute_model(texts):
 
     def p(g):
         if not g:
-            return 1 / K.SYMBOLS
+            return 1 / 256
         level, d, total, weight = table[len(g)]
         lower = p(g[1:])
         if not total[g[:-1]]:
@@ -40,11 +42,26 @@ def brute_model(texts):
         c = level[g]
         return (c - d[min(c, 3)] if c else 0) / total[g[:-1]] + weight[g[:-1]] / total[g[:-1]] * lower
 
-    def perplexity(t):
-        s = [K._MARKS["\n"]] * 3 + [K._symbol(c) for c in t]
-        return math.exp(-sum(math.log(max(p(tuple(s[i - 3 : i + 1])), 1e-12)) for i in range(3, len(s))) / len(t)) if t else None
+    return p
 
-    return perplexity
+
+def fold(text):
+    return xxhash.xxh64_intdigest(text.encode(), seed=42) % K.FOLDS
+
+
+def brute_perplexities(texts, trusted):
+    """Each text's perplexity by the model of the other folds' trusted texts."""
+    models = [brute_model([t for t in trusted if fold(t) != k]) for k in range(K.FOLDS)]
+    return [K.perplexity_by_definition((t or "").encode(), models[fold(t or "")]) for t in texts]
+
+
+def brute_limits(perplexities, langs, is_trusted):
+    """By language, the quantile of the trusted documents."""
+    values = collections.defaultdict(list)
+    for x, lang, good in zip(perplexities, langs, is_trusted, strict=True):
+        if good and x is not None:
+            values[lang].append(x)
+    return {lang: sorted(v)[math.ceil(K.QUANTILE * len(v)) - 1] for lang, v in values.items()}
 
 
 def sentences(n, seed):
@@ -58,14 +75,56 @@ def junk(n, seed):
     return ["".join(r.choices("#$%&*!QXZ0189| ", k=r.randint(20, 200))) for _ in range(n)]
 
 
+def test_codes_are_the_texts_ngrams(monkeypatch):
+    """However the bytes are cut, and across null, empty, short and long texts."""
+    texts = ["abcdefgh" * 5, None, "", "a", "é", "xyz", "", "日本語 text", "q" * 50, "ab"]
+    expected = [int.from_bytes((bytes(K.ORDER - 1) + t.encode())[i : i + K.ORDER], "big") for t in texts if t for i in range(len(t.encode()))]
+    for chunk in (1, 2, 3, 7, 1 << 20):
+        monkeypatch.setattr(K, "_CHUNK", chunk)
+        raw, off = buffers(pa.array(["skipped", *texts, "skipped"]).slice(1, len(texts)))
+        runs = list(K.codes(raw, off))
+        assert [int(x) for _, code in runs for x in code] == expected and [a for a, _ in runs] == list(range(0, len(expected), chunk))
+
+
 def test_model_by_definition(spark):
-    texts = sentences(40, 1) + ["Überß, é 日本 12!", ""]
-    table = K.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    assert np.allclose(np.exp(table.astype(np.float64)).reshape(-1, K.SYMBOLS).sum(axis=1), 1, atol=1e-4)
-    probe = [*sentences(5, 2), *junk(5, 3), "é", "", "日本語 text"]
-    perplexity = brute_model(texts)
-    for mine, t in zip(K.perplexity_by_hand(probe, table), probe, strict=True):
-        assert mine == pytest.approx(perplexity(t), rel=1e-4) if t else mine is None
+    texts = [*sentences(40, 1), "Überß, é 日本 12!", "a", "a"]
+    probe = [*sentences(5, 2), *junk(5, 3), "é", "", None, "日本語 text", texts[0], "\0\0a", "x" * 3000]
+    labelled = spark.createDataFrame([(fold(t), t) for t in texts], "fold int, text string")
+    model = K.train(K.other_folds(labelled))
+    asked = [(k, int.from_bytes(b"the " + bytes([c]), "big")) for k in range(K.FOLDS) for c in range(256)]
+    of = [brute_model([t for t in texts if fold(t) != k]) for k in range(K.FOLDS)]
+    got = {(r.fold, r.g): r.p for r in K.probabilities(spark.createDataFrame(asked, "fold int, g bigint"), model).collect()}
+    assert all(got[k, g] == pytest.approx(of[k](g.to_bytes(5, "big"))) for k, g in asked)
+    assert all(sum(p for (k, _), p in got.items() if k == fold_number) == pytest.approx(1) for fold_number in range(K.FOLDS))
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(probe)], "doc_id long, text string, lang string")
+    expected = brute_perplexities(probe, texts)
+    for block_bytes in (1 << 24, 300):
+        scored = {r.doc_id: r for r in K.score(docs, model, block_bytes=block_bytes).collect()}
+        for i, x in enumerate(expected):
+            assert scored[i].n_bytes == len((probe[i] or "").encode())
+            assert scored[i].log_perplexity == (pytest.approx(math.log(x), rel=1e-5) if x else None)
+
+
+def test_verdicts_by_definition(spark):
+    """Perplexities, limits by language (few texts or many, null and empty apart) and verdicts."""
+    r = random.Random(8)
+    good, bad = sentences(80, 11), junk(30, 12)
+    rows = [(i, t, r.choice(["en", "en", "en", "de", None, ""])) for i, t in enumerate(good + bad)]
+    rows += [(500, good[0], "fr"), (501, bad[0], "fr"), (502, None, "en"), (503, "", "en"), (504, bad[1], "xx"), (504, bad[1], "xx")]
+    labels = [(i, 1, 0) for i in range(0, 80, 2)] + [(i, 0, 0) for i in range(80, 110, 3)] + [(500, 1, 0), (502, 1, 0), (4, 0, 0)]
+    trusted = {i for i, q, _ in labels if q} - {4}
+    perplexity = brute_perplexities([t for _, t, _ in rows], [t for i, t, _ in rows if i in trusted and t])
+    limits = brute_limits(perplexity, [x[2] for x in rows], [x[0] in trusted for x in rows])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = K.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == len(rows)
+    found = {(g.doc_id): g for g in got}
+    for (i, _, lang), x in zip(rows, perplexity, strict=True):
+        g = found[i]
+        assert g.perplexity == (pytest.approx(x, rel=1e-5) if x else None) and g.threshold == (pytest.approx(limits[lang], rel=1e-5) if lang in limits else None)
+        assert g.accepted == (x is None or lang not in limits or x <= limits[lang] * (1 + 1e-6))
+    kept = sorted(r.doc_id for r in K.keep_accepted(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect())
+    assert kept == sorted(g.doc_id for g in got if g.accepted) and 504 in kept
 
 
 def test_held_out_accuracy(spark):

@@ -9,14 +9,13 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
-from test_classifiers import brute_model, junk, sentences
+from test_classifiers import brute_limits, brute_perplexities, junk, sentences
 from test_decontaminate import brute as brute_leaks
 from test_ngram_join import brute as brute_links
 from test_pseudonyms import feistel_pair
 
 import corpus_pipeline
 from tidemark.llm import bpe, pseudonyms, queries
-from tidemark.llm import kneser_ney as K
 
 
 @pytest.fixture(scope="module")
@@ -47,14 +46,9 @@ def tables(spark, tmp_path_factory):
 
 def brute_pipeline(docs, labels, items):
     good = {i for i, q, _ in labels if q == 1}
-    perplexity = brute_model([d[1] for d in docs if d[0] in good])
-    score = {d[0]: math.log(perplexity(d[1])) - K.SLACK / math.sqrt(len(d[1])) for d in docs}
-    limits = {}
-    for lang in {d[2] for d in docs} | {None}:
-        values = sorted(score[d[0]] for d in docs if d[0] in good and lang in (None, d[2]))
-        if lang is None or len(values) >= K.LEAST:
-            limits[lang] = values[math.ceil(K.QUANTILE * len(values)) - 1]
-    docs = [d for d in docs if score[d[0]] <= limits.get(d[2], limits[None]) + 1e-6]
+    perplexity = brute_perplexities([d[1] for d in docs], [d[1] for d in docs if d[0] in good])
+    limits = brute_limits(perplexity, [d[2] for d in docs], [d[0] in good for d in docs])
+    docs = [d for d, x in zip(docs, perplexity, strict=True) if x <= limits.get(d[2], math.inf) * (1 + 1e-6)]
     links = brute_links([d[1] for d in docs])
     docs = [d for i, d in enumerate(docs) if links[i][0] == i]
     leaks = brute_leaks([d[1] for d in docs], [(str(i), t) for i, t in items])

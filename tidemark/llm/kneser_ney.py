@@ -1,204 +1,252 @@
 """Quality classifier: interpolated modified Kneser-Ney perplexity (operator 8).
 
-The model is a character model of order 4 over ``SYMBOLS`` symbol classes (case,
-digits and rare scripts folded), trained on every text that the labels call
-good.  Each task counts its texts' 4-grams in an array of ``SYMBOLS ** 4`` cells
-and emits the cells it used; the counts are summed by shards, and the lower
-orders' continuation counts, the contexts' totals and the discounts are
-DataFrame aggregates and joins on the n-gram codes, sharded in the same way.  The
-joined table has at most ``SYMBOLS + ... + SYMBOLS ** 4`` rows (5.4 million),
-whatever the corpus, so it can go to every executor; each document's perplexity
-is then looked up position by position without a shuffle of texts.
-
-A document is rejected if its score lies over the ``QUANTILE`` of the scores of
-the trusted documents in its language; the score is the log perplexity less
-``SLACK / sqrt(characters)``, the sampling error of a short text.  A language
-with fewer than ``LEAST`` trusted documents takes the quantile of all.
-
-Defined results: a null or empty text has null perplexity and is accepted; a null
-language is a language of its own; a document with contradicting labels is not
-trusted; without trusted texts everything is accepted; repeated rows are scored
-(and, if trusted, counted) each.
+The model is one of byte ``ORDER``-grams, the bytes of the texts as they are, trained on every text that the labels
+call good.  Texts are dealt by a hash of the text into ``FOLDS`` folds, and a document is scored by the model of the
+other folds' trusted texts, whether it is trusted itself or not: all trusted texts are counted, none is scored by
+counts that it (or an exact copy) is part of, and the limits hold for texts that no label has seen.
+
+Nothing that grows with the corpus is held in one place.  Each task counts its texts' n-grams and emits the ones it
+met; the counts are summed by n-gram.  The lower orders' continuation counts, the contexts' totals and the
+probabilities are DataFrame aggregates and joins on the n-grams (an n-gram is an integer of ``ORDER`` bytes; its low
+bytes are its suffix, its high bytes its context).  The documents are dealt out once in blocks of about
+``BLOCK_BYTES``.  A block asks for the n-grams that occur in it, each once, joined to their probabilities by n-gram,
+and the answers come back to the block, where they are looked up byte by byte.
+
+A document is rejected if its perplexity (per byte) lies over the ``QUANTILE`` of the perplexities of the trusted
+documents in its language, however many there are.
+
+Defined results: a null or empty text has null perplexity and is accepted; a null language is a language of its own,
+and so is an empty one; a language without a trusted document has no limit, and its documents are accepted; a
+document with contradicting labels is not trusted; repeated rows are scored (and, if trusted, counted) each.
 """
 
 from __future__ import annotations
 
 import math
-import unicodedata
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .arrowmap import map_texts
 from .session import cut, workers_import
-from .words import buffers, slices
+from .words import buffers
 
-ORDER = 4
-SYMBOLS = 48
-QUANTILE, SLACK, LEAST = 0.997, 3.0, 50
-BITMAP_BITS, MOST_LANGUAGES = 1 << 24, 10_000
+ORDER = 5
+FOLDS = 2
+QUANTILE = 0.995
+BLOCK_BYTES = 16 << 20
+BITMAP_BITS = 1 << 24
+_CHUNK, _MOST_COUNTED = 1 << 20, 1 << 21
 
-# The classes of characters that are neither letters nor digits.
-_MARKS = {" ": 27, "\t": 27, "\n": 28, "\r": 28, ".": 29, ",": 30, "!": 31, "?": 31, "'": 32, '"': 32, "-": 33, ":": 34, ";": 34, "(": 35, ")": 35}
-_UPPER, _DIGIT, _SYMBOL, _ACCENT, _OTHER = 0, 26 + 10, 37, 38, 44
-_TABLE_SIZE = 0x250
 
+def codes(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, n-gram codes) of consecutive runs of the bytes ``raw[off[0]:off[-1]]``, one code for each byte.
 
-def _symbol(c: str) -> int:
-    if "a" <= c <= "z":
-        return 1 + ord(c) - ord("a")
-    if c in _MARKS:
-        return _MARKS[c]
-    kind = unicodedata.category(c)
-    if kind == "Lu":
-        return _UPPER
-    if kind.startswith("N"):
-        return _DIGIT
-    if kind.startswith("L"):
-        return _ACCENT + ord(c) % (_OTHER - _ACCENT)
-    return _SYMBOL
-
-
-_TABLE = np.array([_symbol(chr(i)) for i in range(_TABLE_SIZE)], dtype=np.int32)
-
-
-def symbols(raw: np.ndarray) -> np.ndarray:
-    """Symbol classes of UTF-8 bytes, one for each character."""
-    points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
-    out = _TABLE[np.minimum(points, _TABLE_SIZE - 1)]
-    far = points >= _TABLE_SIZE
-    if far.any():
-        out[far] = _OTHER + points[far] % (SYMBOLS - _OTHER)
-    return out
-
-
-def codes(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(4-gram codes, first): the codes of text i's characters are ``codes[first[i]:first[i + 1]]``.
-
-    Every text is preceded by three line ends.
+    Text i is ``raw[off[i]:off[i + 1]]``, and every text is preceded by ``ORDER - 1`` zero bytes.  The work is cut into runs
+    of at most ``_CHUNK`` bytes, inside texts too.
     """
-    raw, off = buffers(column)
-    for i, j in slices(off):
-        data = raw[off[i] : off[j]]
-        lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        first = lead[off[i : j + 1] - off[i]]
-        n, texts = int(first[-1]), j - i
-        padded = np.full(n + (ORDER - 1) * texts, _MARKS["\n"], dtype=np.int32)
-        place = np.arange(n) + (ORDER - 1) * (1 + np.repeat(np.arange(texts), np.diff(first)))
-        padded[place] = symbols(data)
-        code = padded[place]
+    data, starts = raw[off[0] : off[-1]], off - off[0]
+    for a in range(0, len(data), _CHUNK):
+        b = min(a + _CHUNK, len(data))
+        lead = min(a, ORDER - 1)
+        part = np.concatenate([np.zeros(ORDER - 1 - lead, np.int64), data[a - lead : b].astype(np.int64)])
+        code = part[ORDER - 1 :].copy()
         for back in range(1, ORDER):
-            code = code + padded[place - back] * SYMBOLS**back
-        yield code, first
-
-
-def count_grams(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(g, c): how often each 4-gram code occurs in all the texts."""
+            code |= part[ORDER - 1 - back : len(part) - back] << (8 * back)
+        # bytes of the text before are no part of a text's first n-grams
+        i, j = np.searchsorted(starts, (a - ORDER + 2, b))
+        for k in range(ORDER - 1):
+            at = starts[i:j] + k
+            ends = np.append(starts, len(data))[i + 1 : j + 1]
+            at = at[(at >= a) & (at < b) & (at < ends)] - a
+            code[at] &= (1 << (8 * (k + 1))) - 1
+        yield a, code
+
+
+def count_grams(texts: DataFrame) -> DataFrame:
+    """(fold, g, c): how often each n-gram occurs in all the texts (fold, text) of a fold."""
     workers_import(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SYMBOLS**ORDER, dtype=np.int64)
-        for batch in batches:
-            for code, _ in codes(batch.column(0)):
-                if len(code):
-                    used, times = np.unique(code, return_counts=True)
-                    counts[used] += times
-        used = np.flatnonzero(counts)
-        for i in range(0, len(used), 1 << 16):
-            part = used[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(counts[part])], ["g", "c"])
+        counted: list[pd.Series] = [pd.Series(dtype=np.int64) for _ in range(FOLDS)]
 
-    return texts.select(text).mapInArrow(run, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
+        def rows(fold: int) -> Iterator[pa.RecordBatch]:
+            whole = counted[fold]
+            for i in range(0, len(whole), 1 << 16):
+                part = whole.iloc[i : i + (1 << 16)]
+                n = len(part)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, fold, np.int32)), pa.array(part.index.to_numpy(np.int64)), pa.array(part.to_numpy(np.int64))], ["fold", "g", "c"])
+            counted[fold] = pd.Series(dtype=np.int64)
 
-
-def smoothed(counts: DataFrame) -> DataFrame:
-    """(n, g, base, gamma): each n-gram's discounted share of its context's count and the context's weight for the lower order."""
-    grams, level = None, counts.select("g", "c")
+        for batch in batches:
+            fold_of = batch.column(0).to_numpy()
+            for fold in range(FOLDS):
+                raw, off = buffers(batch.column(1).filter(pa.array(fold_of == fold)))
+                for _, code in codes(raw, off):
+                    at, used = pd.factorize(code)
+                    times = pd.Series(np.bincount(at, minlength=len(used)).astype(np.int64), index=used)
+                    counted[fold] = counted[fold].add(times, fill_value=0).astype(np.int64) if len(counted[fold]) else times
+                    if len(counted[fold]) > _MOST_COUNTED:
+                        yield from rows(fold)
+        for fold in range(FOLDS):
+            yield from rows(fold)
+
+    return texts.select("fold", "text").mapInArrow(run, "fold int, g bigint, c bigint").groupBy("fold", "g").agg(F.sum("c").alias("c"))
+
+
+def _suffix(n: int):
+    """The last n bytes of an n-gram."""
+    return F.col("g").bitwiseAND((1 << (8 * n)) - 1)
+
+
+def smoothed(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each fold's counts, ((fold, n, g, base), (fold, n, ctx, gamma)): an n-gram's discounted share of its context's
+    count, and the context's weight for the lower order."""
+    grams, level = None, counts.select("fold", "g", "c")
     for n in range(ORDER, 0, -1):
         grams = level.withColumn("n", F.lit(n)) if grams is None else grams.unionByName(level.withColumn("n", F.lit(n)))
-        level = level.groupBy((F.col("g") % SYMBOLS ** (n - 1)).alias("g")).agg(F.count("*").alias("c"))
+        level = level.groupBy("fold", _suffix(n - 1).alias("g")).agg(F.count("*").alias("c"))
     times = lambda k: F.sum((F.col("c") == k).cast("double"))
-    d = grams.groupBy("n").agg(*(times(k).alias(f"n{k}") for k in range(1, 5)))
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
 
     def discount(k: int):
         formula = F.when((F.col(f"n{k}") > 0) & (F.col("n1") > 0), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"))
         return F.greatest(F.lit(0.0), F.least(F.lit(float(k)), F.coalesce(formula, F.lit(k / 2)))).alias(f"d{k}")
 
-    d = d.select(F.col("n").alias("dn"), *(discount(k) for k in (1, 2, 3)))
-    contexts = grams.groupBy("n", F.floor(F.col("g") / SYMBOLS).alias("ctx")).agg(F.sum("c").alias("total"), times(1).alias("t1"), times(2).alias("t2"), F.sum((F.col("c") > 2).cast("double")).alias("t3"))
-    rows = grams.withColumn("ctx", F.floor(F.col("g") / SYMBOLS)).join(contexts, ["n", "ctx"]).join(F.broadcast(d), F.col("n") == F.col("dn"))
-    less = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    d = grams.groupBy("fold", "n").agg(*(times(k).alias(f"n{k}") for k in range(1, 5)))
+    d = F.broadcast(d.select("fold", "n", *(discount(k) for k in (1, 2, 3))))  # FOLDS * ORDER rows
+    ctx = F.shiftright("g", 8).alias("ctx")
+    contexts = grams.groupBy("fold", "n", ctx).agg(F.sum("c").alias("total"), times(1).alias("t1"), times(2).alias("t2"), F.sum((F.col("c") > 2).cast("double")).alias("t3"))
     gamma = (F.col("d1") * F.col("t1") + F.col("d2") * F.col("t2") + F.col("d3") * F.col("t3")) / F.col("total")
-    return rows.select("n", "g", ((F.col("c") - less) / F.col("total")).alias("base"), gamma.alias("gamma"))
-
-
-def dense(rows: pa.Table) -> np.ndarray:
-    """Log probabilities of all ``SYMBOLS ** 4`` n-grams; a context never seen gives all weight to the lower order."""
-    n, g = rows["n"].to_numpy(), rows["g"].to_numpy()
-    base, gamma = rows["base"].to_numpy(), rows["gamma"].to_numpy()
-    p = np.full(SYMBOLS, 1.0 / SYMBOLS, dtype=np.float32)  # of the lower order, for every context and symbol
-    for order in range(1, ORDER + 1):
-        own = n == order
-        weight = np.ones(SYMBOLS ** (order - 1), dtype=np.float32)
-        weight[g[own] // SYMBOLS] = gamma[own]
-        # the lower order's probabilities repeat for each oldest symbol of the context
-        below = np.broadcast_to(p.reshape(1, -1), (SYMBOLS**order // len(p), len(p))).reshape(-1, SYMBOLS)
-        made = weight[:, None] * below
-        made.ravel()[g[own]] += base[own].astype(np.float32)
-        p = made.ravel()
-    np.maximum(p, np.float32(1e-12), out=p)
-    return np.log(p, out=p)
-
-
-def train(trusted: DataFrame, text: str = "text") -> np.ndarray:
-    """Log-probability table of the model of all trusted texts."""
-    counts = cut(count_grams(trusted, text))
-    return dense(smoothed(counts).toArrow())
-
-
-def score(docs: DataFrame, table: np.ndarray, *, text: str = "text", keep: Sequence[str] = ("doc_id", "lang")) -> DataFrame:
-    """``keep`` columns, ``n_symbols`` and ``log_perplexity`` (null for an empty text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def factory():
-        logs = shared.value
-
-        def mapper(column: pa.Array) -> list[pa.Array]:
-            lengths, sums = [], []
-            for code, first in codes(column):
-                part = np.zeros(len(first) - 1)
-                full = np.flatnonzero(np.diff(first))
-                if len(full):
-                    part[full] = np.add.reduceat(logs[code].astype(np.float64), first[full])
-                lengths.append(np.diff(first))
-                sums.append(part)
-            n, total = np.concatenate(lengths), np.concatenate(sums)
-            return [pa.array(n, pa.int64()), pa.array(-total / np.maximum(n, 1), pa.float64(), mask=n == 0)]
-
-        return mapper
-
-    fields = [T.StructField("n_symbols", T.LongType()), T.StructField("log_perplexity", T.DoubleType())]
-    return map_texts(docs, factory, fields, text, keep)
+    weighted = cut(contexts.join(d, ["fold", "n"]).select("fold", "n", "ctx", "total", gamma.alias("gamma")))
+    less = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    bases = grams.select("fold", "n", "g", "c", ctx).join(weighted.drop("gamma"), ["fold", "n", "ctx"]).join(d, ["fold", "n"])
+    return cut(bases.select("fold", "n", "g", ((F.col("c") - less) / F.col("total")).alias("base"))), weighted.drop("total")
+
+
+def probabilities(asked: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(fold, g, p): the probability of the last byte of each n-gram (fold, g) after the others; order by order, by joins."""
+    bases, gammas = model
+    levels = {ORDER: asked.select("fold", "g")}
+    for n in range(ORDER - 1, 0, -1):
+        levels[n] = levels[n + 1].select("fold", _suffix(n).alias("g")).distinct()
+    known = None
+    for n in range(1, ORDER + 1):
+        base = bases.where(F.col("n") == n).select("fold", "g", "base")
+        gamma = gammas.where(F.col("n") == n).select("fold", "ctx", "gamma")
+        rows = levels[n].join(base, ["fold", "g"], "left").withColumn("ctx", F.shiftright("g", 8)).join(gamma, ["fold", "ctx"], "left")
+        if known is None:
+            rows = rows.withColumn("lower", F.lit(1 / 256))
+        else:
+            rows = rows.withColumn("below", _suffix(n - 1)).join(known.select("fold", F.col("g").alias("below"), F.col("p").alias("lower")), ["fold", "below"])
+        known = rows.select("fold", "g", (F.coalesce("base", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("lower")).alias("p"))
+    return known
+
+
+def train(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The models of all trusted texts (fold, text), one for each fold; as :func:`smoothed`."""
+    return smoothed(cut(count_grams(trusted)))
+
+
+def fold_of(text: str):
+    return F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(FOLDS)).cast("int")
+
+
+def other_folds(trusted: DataFrame) -> DataFrame:
+    """The texts (fold, text) once for each fold that is to be scored without them."""
+    return trusted.select(F.explode(F.array(*(F.when(F.col("fold") != k, F.lit(k)) for k in range(FOLDS)))).alias("fold_"), "text").where("fold_ is not null").select(F.col("fold_").alias("fold"), "text")
+
+
+def score(docs: DataFrame, model: tuple[DataFrame, DataFrame], *, keep: Sequence[str] = ("doc_id", "lang"), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``keep`` columns, ``n_bytes`` and ``log_perplexity`` (null for an empty text) of documents with a column text.
+
+    ``model`` is that of a fold's own number: the one which scores it.
+    """
+    workers_import(docs.sparkSession)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // (FOLDS * block_bytes)))
+    spread = F.pmod(F.xxhash64(*keep, "text", F.lit("block")), F.lit(blocks)).cast("int")
+    dealt = docs.select((spread * FOLDS + fold_of("text")).alias("__block"), *(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)), F.col("text").alias("__text"))
+
+    def ask(rows: pa.Table) -> pa.Table:
+        raw, off = buffers(rows.column("__text"))
+        used = np.zeros(0, np.int64)
+        for _, code in codes(raw, off):
+            used = pd.unique(np.concatenate([used, pd.unique(code)]))
+        block = rows.column("__block")[0].as_py()
+        return pa.table({"block": pa.array(np.full(len(used), block, np.int32)), "fold": pa.array(np.full(len(used), block % FOLDS, np.int32)), "g": pa.array(used)})
+
+    # the n-grams of all documents, each once for a fold, by a pass of its own that shuffles n-grams only
+    asked = cut(_distinct_grams(docs))
+    known = cut(probabilities(asked, model).select("fold", "g", F.log(F.greatest("p", F.lit(1e-12))).cast("float").alias("logp")))
+    pairs = dealt.groupBy("__block").applyInArrow(ask, "block int, fold int, g bigint")
+    answers = pairs.hint("merge").join(known, ["fold", "g"]).select("block", "g", "logp")
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_bytes", T.LongType()), T.StructField("log_perplexity", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def look_up(rows: pa.Table, answered: pa.Table) -> pa.Table:
+        raw, off = buffers(rows.column("__text"))
+        index = pd.Index(answered.column("g").to_numpy())
+        logs = answered.column("logp").to_numpy().astype(np.float64)
+        starts, sums = off - off[0], np.zeros(len(off) - 1)
+        for a, code in codes(raw, off):
+            part = logs[index.get_indexer(code)]
+            i = int(np.searchsorted(starts, a, side="right")) - 1
+            j = int(np.searchsorted(starts, a + len(code), side="left"))
+            owners = np.arange(i, min(j, len(sums)))
+            owners = owners[(np.minimum(starts[owners + 1], a + len(code)) > np.maximum(starts[owners], a))]
+            sums[owners] += np.add.reduceat(part, np.maximum(starts[owners] - a, 0))
+        n = np.diff(off)
+        made = [*(rows.column(f"__k{i}").cast(f.type) for i, f in enumerate(list(arrow)[: len(keep)])), pa.array(n, pa.int64()), pa.array(-sums / np.maximum(n, 1), pa.float64(), mask=n == 0)]
+        return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in made], schema=arrow)
+
+    return dealt.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(look_up, schema)
+
+
+def _distinct_grams(docs: DataFrame) -> DataFrame:
+    """(fold, g) of the documents, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = [np.zeros(0, np.int64) for _ in range(FOLDS)]
+
+        def rows(fold: int) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(met[fold]), 1 << 16):
+                part = met[fold][i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), fold, np.int32)), pa.array(part)], ["fold", "g"])
+            met[fold] = np.zeros(0, np.int64)
+
+        for batch in batches:
+            folds = batch.column(0).to_numpy()
+            for fold in range(FOLDS):
+                raw, off = buffers(batch.column(1).filter(pa.array(folds == fold)))
+                for _, code in codes(raw, off):
+                    met[fold] = pd.unique(np.concatenate([met[fold], pd.unique(code)]))
+                    if len(met[fold]) > _MOST_COUNTED:
+                        yield from rows(fold)
+        for fold in range(FOLDS):
+            yield from rows(fold)
+
+    return docs.select(fold_of("text").alias("fold"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "fold int, g bigint").distinct()
 
 
 def trusted_ids(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Ids whose labels all say good."""
-    return labels.where("quality is not null").groupBy(F.col(doc_id).alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
+    """Ids (as text) whose labels all say good."""
+    return labels.where("quality is not null").groupBy(F.col(doc_id).cast("string").alias("id")).agg(F.min("quality").alias("q")).where("q = 1 and id is not null").select("id")
 
 
 def trusted_texts(docs: DataFrame, good: DataFrame) -> DataFrame:
-    """The texts of the documents (doc_id, text) whose id is in ``good``.
+    """(fold, text) of the documents (doc_id, text) whose id is in ``good``.
 
     A bitmap of hashed ids, of a fixed size, leaves out most other documents where they are read; the rest are
     joined on their ids, always by sort and merge, so that the plan is the same at every size.
     """
     workers_import(docs.sparkSession)
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))
+    slot = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS))
     words = good.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
     rows = words.toArrow()  # at most BITMAP_BITS / 64 rows
     bitmap = np.zeros(BITMAP_BITS // 64, dtype=np.uint64)
@@ -210,59 +258,43 @@ def trusted_texts(docs: DataFrame, good: DataFrame) -> DataFrame:
             at = batch.column(2).to_numpy().astype(np.uint64)
             bits = shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))
             left = batch.filter(pa.array((bits & np.uint64(1)).astype(bool)))
-            yield pa.RecordBatch.from_arrays(left.columns[:2], ["doc_id", "text"])
-
-    likely = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", slot.alias("slot")).mapInArrow(run, "doc_id bigint, text string")
-    return likely.join(good.hint("merge"), "doc_id", "left_semi").select("text")
-
+            yield pa.RecordBatch.from_arrays(left.columns[:2], ["id", "text"])
 
-def with_score(scored: DataFrame, slack: float) -> DataFrame:
-    return scored.withColumn("score", F.col("log_perplexity") - slack / F.sqrt("n_symbols"))
+    named = docs.select(F.col("doc_id").cast("string").alias("id"), "text").where("id is not null and length(text) > 0")
+    likely = named.select("id", "text", slot.alias("slot")).mapInArrow(run, "id string, text string")
+    return likely.join(good.hint("merge"), "id", "left_semi").select(fold_of("text").alias("fold"), "text")
 
 
-def fit(source: DataFrame, labels: DataFrame, quantile: float, slack: float, least: int) -> tuple[np.ndarray, DataFrame, float | None, DataFrame]:
-    """(table, limits by language, limit of all, scores): the model and thresholds of ``source`` (doc_id, lang, text)."""
-    good = trusted_ids(labels)
-    table = train(trusted_texts(source, good))
-    scored = with_score(cut(score(source, table)), slack)
-    trusted = scored.where("score is not null").join(good, "doc_id", "left_semi")
-    at = F.percentile_approx("score", quantile, 10000)
-    limits = trusted.groupBy(F.coalesce("lang", F.lit("")).alias("of_lang")).agg(at.alias("threshold"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
-    limits = cut(limits)
-    return table, F.broadcast(limits) if limits.count() <= MOST_LANGUAGES else limits, trusted.agg(at).first()[0], scored
-
+def _source(docs: DataFrame, doc_id: str, lang: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
 
-def judged(scored: DataFrame, limits: DataFrame, overall: float | None, lang: str = "lang") -> DataFrame:
-    """``scored`` with threshold and accepted."""
-    out = scored.join(limits, F.coalesce(F.col(lang), F.lit("")) == F.col("of_lang"), "left")
-    out = out.withColumn("threshold", F.coalesce("threshold", F.lit(None if overall is None else float(overall)).cast("double")))
-    return out.withColumn("accepted", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)))
 
+def classify(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
+    """doc_id, lang, n_bytes, perplexity, threshold and accepted of every document."""
+    return _judged(_source(docs, doc_id, lang, text), labels, quantile).select("doc_id", "lang", "n_bytes", F.exp("log_perplexity").alias("perplexity"), F.exp("threshold").alias("threshold"), "accepted")
 
-def _source(docs: DataFrame, doc_id: str, lang: str, text: str) -> DataFrame:
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
 
+def _judged(source: DataFrame, labels: DataFrame, quantile: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents (doc_id, lang, text) with key (a hash of the text), n_bytes, log_perplexity, threshold and accepted; without texts."""
+    good = cut(trusted_ids(labels))
+    model = train(other_folds(trusted_texts(source, good)))
+    scored = cut(score(source.withColumn("key", F.xxhash64("text")), model, keep=("doc_id", "lang", "key"), block_bytes=block_bytes))
+    trusted = scored.where("log_perplexity is not null").join(good.withColumnRenamed("id", "__id"), F.col("doc_id").cast("string") == F.col("__id"), "left_semi")
+    limits = trusted.groupBy(F.col("lang").alias("of_lang")).agg(F.percentile_approx("log_perplexity", quantile, 10000).alias("threshold"))
+    out = scored.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")), "left").drop("of_lang")
+    return out.withColumn("accepted", F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.lit(True)))
 
-def classify(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE, slack: float = SLACK, least: int = LEAST) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, score, threshold and accepted of every document."""
-    _, limits, overall, scored = fit(_source(docs, doc_id, lang, text), labels, quantile, slack, least)
-    return judged(scored, limits, overall).select("doc_id", "lang", "n_symbols", F.exp("log_perplexity").alias("perplexity"), "score", "threshold", "accepted")
 
+def keep_accepted(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
+    """The documents that the classifier accepts, with their columns as they were."""
+    verdicts = _judged(_source(docs, doc_id, lang, text), labels, quantile)
+    gone = verdicts.where("not accepted").select(F.col("doc_id").alias("__gone_id"), F.col("lang").alias("__gone_lang"), F.col("key").alias("__gone_key")).distinct()
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__gone_id")) & F.col(f"`{lang}`").cast("string").eqNullSafe(F.col("__gone_lang")) & (F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col("__gone_key"))
+    return docs.join(gone, same, "left_anti")
 
-def keep_accepted(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE, slack: float = SLACK, least: int = LEAST) -> DataFrame:
-    """The documents that the classifier accepts, with their columns as they were.
 
-    They are scored once more where they are read, rather than shuffled to meet their verdicts.
-    """
-    table, limits, overall, _ = fit(_source(docs, doc_id, lang, text), labels, quantile, slack, least)
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
-    scored = with_score(score(whole, table, keep=("row", "lang")), slack)
-    return judged(scored, limits, overall).where("accepted").select("row.*")
-
-
-def perplexity_by_hand(texts: Sequence[str], table: np.ndarray) -> list[float | None]:
-    """Perplexities of a few texts on the driver, for tests and inspection."""
-    out: list[float | None] = []
-    for code, first in codes(pa.array(texts, pa.large_string())):
-        out += [math.exp(-float(table[code[a:b]].astype(np.float64).mean())) if b > a else None for a, b in zip(first[:-1], first[1:], strict=True)]
-    return out
+def perplexity_by_definition(text: bytes, probability) -> float | None:
+    """Perplexity per byte of a text by a function of n-grams (as bytes), for tests and inspection."""
+    padded = bytes(ORDER - 1) + text
+    logs = [math.log(max(probability(padded[i : i + ORDER]), 1e-12)) for i in range(len(text))]
+    return math.exp(-sum(logs) / len(logs)) if logs else None

@@ -22,12 +22,14 @@ def workers_import(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; set one of our own only where none is set (tests)."""
+    """Use the shared folder that the session names.  Without one, a session of a single machine gets a folder of its own; on a cluster it must be set."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
     sc.setCheckpointDir(folder)
 
