@@ -89,7 +89,7 @@ def test_codes_are_the_texts_ngrams(monkeypatch):
 def test_model_by_definition(spark):
     texts = [*sentences(40, 1), "Überß, é 日本 12!", "a", "a"]
     probe = [*sentences(5, 2), *junk(5, 3), "é", "", None, "日本語 text", texts[0], "\0\0a", "x" * 3000]
-    labelled = spark.createDataFrame([(fold(t), t) for t in texts], "fold int, text string")
+    labelled = spark.createDataFrame([(fold(t), K._packed(pa.py_buffer(t.encode()))) for t in texts], "fold int, text binary")
     model = K.train(K.other_folds(labelled))
     asked = [(k, int.from_bytes(b"the " + bytes([c]), "big")) for k in range(K.FOLDS) for c in range(256)]
     of = [brute_model([t for t in texts if fold(t) != k]) for k in range(K.FOLDS)]

@@ -39,9 +39,10 @@ from .words import buffers
 ORDER = 5
 FOLDS = 2
 QUANTILE = 0.995
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 BITMAP_BITS = 1 << 24
-_CHUNK, _MOST_COUNTED = 1 << 20, 1 << 21
+_CHUNK, _MOST_COUNTED, _PACKED = 1 << 20, 1 << 21, 32 << 20
+_CODEC = pa.Codec("zstd", 3)
 
 
 def codes(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -69,7 +70,7 @@ def codes(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
-    """(fold, g, c): how often each n-gram occurs in all the texts (fold, text) of a fold."""
+    """(fold, g, c): how often each n-gram occurs in all the texts (fold, compressed text) of a fold."""
     workers_import(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +87,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
         for batch in batches:
             fold_of = batch.column(0).to_numpy()
             for fold in range(FOLDS):
-                raw, off = buffers(batch.column(1).filter(pa.array(fold_of == fold)))
+                raw, off = buffers(pa.array([_unpack(t.as_buffer()).to_pybytes() for t in batch.column(1).filter(pa.array(fold_of == fold))], pa.binary()).cast(pa.large_binary()).view(pa.large_string()))
                 for _, code in codes(raw, off):
                     at, used = pd.factorize(code)
                     times = pd.Series(np.bincount(at, minlength=len(used)).astype(np.int64), index=used)
@@ -171,26 +172,29 @@ def score(docs: DataFrame, model: tuple[DataFrame, DataFrame], *, keep: Sequence
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (FOLDS * block_bytes)))
     spread = F.pmod(F.xxhash64(*keep, "text", F.lit("block")), F.lit(blocks)).cast("int")
-    dealt = docs.select((spread * FOLDS + fold_of("text")).alias("__block"), *(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)), F.col("text").alias("__text"))
+    dealt = docs.select((spread * FOLDS + fold_of("text")).alias("block"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.coalesce("text", F.lit("")).alias("text"))
+    carried = to_arrow_schema(T.StructType(dealt.schema.fields[1:]))
+    packed = dealt.mapInArrow(_packer(carried), "block int, rows binary")
 
     def ask(rows: pa.Table) -> pa.Table:
-        raw, off = buffers(rows.column("__text"))
+        raw, off = buffers(_unpacked(rows.column("rows"), carried).column("text"))
         used = np.zeros(0, np.int64)
         for _, code in codes(raw, off):
             used = pd.unique(np.concatenate([used, pd.unique(code)]))
-        block = rows.column("__block")[0].as_py()
+        block = rows.column("block")[0].as_py()
         return pa.table({"block": pa.array(np.full(len(used), block, np.int32)), "fold": pa.array(np.full(len(used), block % FOLDS, np.int32)), "g": pa.array(used)})
 
-    # the n-grams of all documents, each once for a fold, by a pass of its own that shuffles n-grams only
-    asked = cut(_distinct_grams(docs))
-    known = cut(probabilities(asked, model).select("fold", "g", F.log(F.greatest("p", F.lit(1e-12))).cast("float").alias("logp")))
-    pairs = dealt.groupBy("__block").applyInArrow(ask, "block int, fold int, g bigint")
+    # the n-grams of all documents, each once, by a pass of its own: it shuffles no text
+    known = cut(probabilities(cut(_distinct_grams(docs)), model).select("fold", "g", F.log(F.greatest("p", F.lit(1e-12))).cast("float").alias("logp")))
+    # one exchange of the packed documents serves both who ask and who look up
+    pairs = packed.groupBy("block").applyInArrow(ask, "block int, fold int, g bigint")
     answers = pairs.hint("merge").join(known, ["fold", "g"]).select("block", "g", "logp")
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_bytes", T.LongType()), T.StructField("log_perplexity", T.DoubleType())])
     arrow = to_arrow_schema(schema)
 
     def look_up(rows: pa.Table, answered: pa.Table) -> pa.Table:
-        raw, off = buffers(rows.column("__text"))
+        rows = _unpacked(rows.column("rows"), carried)
+        raw, off = buffers(rows.column("text"))
         index = pd.Index(answered.column("g").to_numpy())
         logs = answered.column("logp").to_numpy().astype(np.float64)
         starts, sums = off - off[0], np.zeros(len(off) - 1)
@@ -202,10 +206,10 @@ def score(docs: DataFrame, model: tuple[DataFrame, DataFrame], *, keep: Sequence
             owners = owners[(np.minimum(starts[owners + 1], a + len(code)) > np.maximum(starts[owners], a))]
             sums[owners] += np.add.reduceat(part, np.maximum(starts[owners] - a, 0))
         n = np.diff(off)
-        made = [*(rows.column(f"__k{i}").cast(f.type) for i, f in enumerate(list(arrow)[: len(keep)])), pa.array(n, pa.int64()), pa.array(-sums / np.maximum(n, 1), pa.float64(), mask=n == 0)]
+        made = [*(rows.column(f"k{i}").cast(f.type) for i, f in enumerate(list(arrow)[: len(keep)])), pa.array(n, pa.int64()), pa.array(-sums / np.maximum(n, 1), pa.float64(), mask=n == 0)]
         return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in made], schema=arrow)
 
-    return dealt.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(look_up, schema)
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(look_up, schema)
 
 
 def _distinct_grams(docs: DataFrame) -> DataFrame:
@@ -234,13 +238,54 @@ def _distinct_grams(docs: DataFrame) -> DataFrame:
     return docs.select(fold_of("text").alias("fold"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "fold int, g bigint").distinct()
 
 
+def _packed(data: pa.Buffer) -> bytes:
+    return len(data).to_bytes(8, "little") + _CODEC.compress(data, asbytes=True)
+
+
+def _unpack(data: pa.Buffer) -> pa.Buffer:
+    return _CODEC.decompress(data.slice(8), int.from_bytes(data.slice(0, 8).to_pybytes(), "little"))
+
+
+def _packer(schema: pa.Schema):
+    """Rows (block, columns of ``schema``) as rows (block, bytes), each the compressed rows of one block among some ``_PACKED`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def packs() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            held.clear()
+            block = table.column(0).to_numpy()
+            order = np.argsort(block, kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(block[order]) != 0))
+            columns = table.select(range(1, table.num_columns)).cast(schema)
+            for i, j in zip(starts, np.append(starts[1:], len(order)), strict=True):
+                part = columns.take(pa.array(order[i:j])).combine_chunks()
+                one = pa.RecordBatch.from_arrays([c.chunk(0) for c in part.columns], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([block[order[i]]], pa.int32()), pa.array([_packed(one.serialize())], pa.binary())], ["block", "rows"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                if sum(b.nbytes for b in held) >= _PACKED:
+                    yield from packs()
+        if held:
+            yield from packs()
+
+    return run
+
+
+def _unpacked(column: pa.ChunkedArray, schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_batches([pa.ipc.read_record_batch(_unpack(b.as_buffer()), schema) for b in column], schema=schema)
+
+
 def trusted_ids(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Ids (as text) whose labels all say good."""
     return labels.where("quality is not null").groupBy(F.col(doc_id).cast("string").alias("id")).agg(F.min("quality").alias("q")).where("q = 1 and id is not null").select("id")
 
 
 def trusted_texts(docs: DataFrame, good: DataFrame) -> DataFrame:
-    """(fold, text) of the documents (doc_id, text) whose id is in ``good``.
+    """(fold, text, compressed) of the documents (doc_id, text) whose id is in ``good``.
 
     A bitmap of hashed ids, of a fixed size, leaves out most other documents where they are read; the rest are
     joined on their ids, always by sort and merge, so that the plan is the same at every size.
@@ -255,14 +300,14 @@ def trusted_texts(docs: DataFrame, good: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).to_numpy().astype(np.uint64)
+            at = batch.column(3).to_numpy().astype(np.uint64)
             bits = shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))
             left = batch.filter(pa.array((bits & np.uint64(1)).astype(bool)))
-            yield pa.RecordBatch.from_arrays(left.columns[:2], ["id", "text"])
+            yield pa.RecordBatch.from_arrays([left.column(0), left.column(1), pa.array([_packed(t.as_buffer()) for t in left.column(2)], pa.binary())], ["id", "fold", "text"])
 
     named = docs.select(F.col("doc_id").cast("string").alias("id"), "text").where("id is not null and length(text) > 0")
-    likely = named.select("id", "text", slot.alias("slot")).mapInArrow(run, "id string, text string")
-    return likely.join(good.hint("merge"), "id", "left_semi").select(fold_of("text").alias("fold"), "text")
+    likely = named.select("id", fold_of("text").alias("fold"), "text", slot.alias("slot")).mapInArrow(run, "id string, fold int, text binary")
+    return likely.join(good.hint("merge"), "id", "left_semi").select("fold", "text")
 
 
 def _source(docs: DataFrame, doc_id: str, lang: str, text: str) -> DataFrame:
