@@ -7,7 +7,7 @@ share one.  Three Feistel networks do it, all with SHA-256 of key, round and the
 other half as round function:
 
 * letters and digits in place (phone, card and account numbers, mail addresses,
-  secrets): each symbol of one half is shifted within its own alphabet by the
+  keys, hexadecimal secrets, IPv6 addresses written out): each symbol of one half is shifted within its own alphabet by the
   other half; separators, country codes and top-level domains stay; check digits
   are computed anew;
 * IPv4 addresses: two 16-bit halves;
@@ -26,7 +26,7 @@ that begin as the number plan of cards says (2221 to 2720, 3 to 6).
 
 One narrow stage, no shuffle, no Python.  Defined results: a null text stays null
 with 0 values; a number that fails its check, or a date that is not in the
-calendar, stays as it is; every other column is carried as it was.
+calendar, stays as it is; every other column is carried as it was, and ``kinds`` must name none of them.
 """
 
 from __future__ import annotations
@@ -40,10 +40,14 @@ KEY = "change-me"
 ROUNDS = 8
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_GROUP = "[0-9A-Fa-f]{1,4}"
+# Every repeated group is bounded, so that no text is too long for the regular expressions' stack.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![0-9A-Fa-f])[0-9a-f]{32,128}(?![0-9A-Za-z])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){0,125}\.[A-Za-z]{2,63}+",
+    "key": r"(?<![0-9A-Za-z_-])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,255}+|sk-[0-9A-Za-z_-]{20,255}+|xox[abprs]-[0-9A-Za-z-]{10,255}+|AIza[0-9A-Za-z_-]{35})(?![0-9A-Za-z_-])",
+    "secret": r"(?<![0-9A-Fa-f])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
+    "ipv6": rf"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]{{0,39}}[0-9])(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}(?::{_GROUP}){{0,6}})?::(?:{_GROUP}(?::{_GROUP}){{0,6}})?)(?![0-9A-Za-z:])",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9])(?!\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])(?![./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])(?!-[0-9])",
@@ -52,7 +56,7 @@ PATTERNS = {
 }
 for _kind in ("ip", "date", "ssn"):  # not inside a phone number
     PATTERNS[_kind] = r"(?<!\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?)" + PATTERNS[_kind]
-SEARCHES = (("email", "secret", "iban", "ip", "date", "ssn"), ("card",), ("phone",))
+ALONE = ("email", "key", "secret", "iban", "ipv6", "ip", "date", "ssn")  # then parts of account numbers, cards, phone numbers
 _CARD_START, _CARD_LAYOUT = "^(?:[3-6]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720)", "^(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}(?: [0-9]{4}){3}(?: [0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
 _PIECES = "array<struct<kind: string, value: string>>"
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 270, 271
@@ -169,6 +173,32 @@ def ip(key: str, value: Column) -> Column:
     return let(F.transform(F.split(value, r"\."), lambda x: x.cast("int")), body)
 
 
+def ipv6(key: str, value: Column) -> Column:
+    """Pseudonym, all eight groups written out, of an address with eight groups or fewer around ``::``, else null."""
+
+    def body(halves: Column) -> Column:
+        groups = lambda h: F.filter(F.split(F.lower(h), ":"), lambda g: g != "")
+        left, right = groups(halves[0]), F.when(F.size(halves) > 1, groups(halves[1])).otherwise(F.expr("cast(array() as array<string>)"))
+        full = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0))), right)
+        digits_ = F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), "")
+        valid = (F.size(full) == 8) & ((F.size(halves) == 1) | (F.size(left) + F.size(right) < 8))
+        return F.when(valid, F.array_join(F.regexp_extract_all(symbols_in_place(key, "ipv6", digits_, "hex"), F.lit("[0-9a-f]{4}"), F.lit(0)), ":"))
+
+    return let(F.split(value, "::"), body)
+
+
+def secret(key: str, value: Column) -> Column:
+    """Hexadecimal digits, all in lower or all in upper case."""
+    new = symbols_in_place(key, "secret", F.lower(value), "hex")
+    return let(new, lambda x: F.when(value.rlike("[A-F]"), F.upper(x)).otherwise(x))
+
+
+def access_key(key: str, value: Column) -> Column:
+    """The prefix that names the kind of key stays."""
+    prefix = F.regexp_extract(value, "^(A[KS]IA|gh[pousr]_|sk-|xox[abprs]-|AIza)", 1)
+    return let(prefix, lambda p: F.concat(p, symbols_in_place(key, "key", F.substr(value, F.length(p) + 1))))
+
+
 def date(key: str, value: Column) -> Column:
     """Pseudonym, in the same format, of a day of the calendar from 1900-01-01 on, else null.  dd/mm/yyyy where the
     first number is over 12, else mm/dd/yyyy."""
@@ -222,95 +252,128 @@ def _piece(kind: str | None, value: Column) -> Column:
     return F.struct(F.lit(kind).cast("string").alias("kind"), value.alias("value"))
 
 
-def _sub_runs(value: Column, symbol: str, most: int, valid, rank, make, kind: str) -> Column:
-    """Pieces of a value: valid runs of its groups, those of the least rank and then the longest first chosen.
+_WINDOWS = "array<struct<rank: int, less: int, a: int, b: int, text: string>>"
+
+
+def _runs_searched(docs: DataFrame, found: str, kind: str, symbol: str, most: int, valid, rank, make) -> DataFrame:
+    """``found`` with the pieces without a kind searched for valid runs inside the matches of the kind's pattern; of those
+    that overlap, the runs of the least rank and then the longest are taken first.
 
     Groups are runs of ``symbol``; ``valid(w)`` and ``rank(w)`` see a run of at most ``most`` groups, all separated by one
     character, as struct(a, b, n, last, cuts, text): its first and last group, its number of symbols, whether more groups would
-    be over 19 symbols, whether a hyphen ties it to the group before or after, and its text.
+    be over 19 symbols, whether a hyphen ties it to the group before or after, and its text.  Runs are chosen apart in each
+    stretch of groups that overlapping valid runs connect, so the work is in proportion to the text's length unless valid runs
+    overlap all along it.  Each step is a projection of its own: the analyzer takes only so many nested lambdas at once.
     """
-
-    def of_groups(g: Column, gaps: Column) -> Column:
-        zero = F.expr("cast(array(0) as array<int>)")
-        sums = lambda sizes: F.aggregate(sizes, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-
-        def of_sums(symbols: Column, apart: Column, places: Column) -> Column:
-            # places: where each group begins; apart: separators before each group
-            start = lambda a: F.get(places, a)
-            end = lambda b: F.get(places, b) + F.length(F.get(g, b))
-            count = lambda a, b: F.get(symbols, b + 1) - F.get(symbols, a)
-            text = lambda a, b: F.substr(value, start(a) + 1, end(b) - start(a))
-
-            cuts = lambda a, b: (F.substr(value, start(a), F.lit(1)) == "-") | (F.substr(value, end(b) + 1, F.lit(1)) == "-")
-
-            def of_start(a: Column) -> Column:
-                bs = F.filter(F.sequence(a, F.least(a + most - 1, F.size(g) - 1)), lambda b: count(a, b).between(13, 34) & (F.get(apart, b + 1) - F.get(apart, a + 1) == b - a))
-                rows = F.transform(bs, lambda b: F.struct(a.alias("a"), b.alias("b"), count(a, b).alias("n"), (F.coalesce(count(a, b + 1), F.lit(99)) > 19).alias("last"), cuts(a, b).alias("cuts"), text(a, b).alias("text")))
-                return F.transform(F.filter(rows, valid), lambda w: F.struct(rank(w).alias("rank"), (-w["n"]).alias("less"), w["a"].alias("a"), w["b"].alias("b"), w["text"].alias("text")))
-
-            found = F.sort_array(F.flatten(F.transform(F.sequence(F.lit(0), F.size(g) - 1), of_start)))
-            none = F.expr("cast(array() as array<struct<a: int, b: int, text: string>>)")
-            row = lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), w["text"].alias("text"))
-            kept = F.sort_array(F.aggregate(found, none, lambda acc, w: F.when(F.exists(acc, lambda k: (k["a"] <= w["b"]) & (w["a"] <= k["b"])), acc).otherwise(F.concat(acc, F.array(row(w))))))
-
-            def pieces(k: Column) -> Column:
-                before = F.transform(k, lambda w, i: F.when(i > 0, end(F.get(k, i - 1)["b"])).otherwise(0))
-                each = F.zip_with(k, before, lambda w, p: F.array(_piece(None, F.substr(value, p + 1, start(w["a"]) - p)), _piece(kind, make(w["text"]))))
-                tail = F.when(F.size(k) > 0, F.substr(value, end(F.element_at(k, -1)["b"]) + 1, F.length(value))).otherwise(value)
-                return F.concat(F.flatten(each), F.array(_piece(None, tail)))
-
-            return let(kept, pieces)
-
-        places = F.zip_with(F.slice(sums(F.transform(gaps, F.length)), 2, F.size(g)), F.slice(sums(F.transform(g, F.length)), 1, F.size(g)), lambda x, y: x + y)
-        return let(F.struct(sums(F.transform(g, F.length)).alias("n"), sums(F.transform(gaps, F.length)).alias("apart"), places.alias("at")), lambda x: of_sums(x["n"], x["apart"], x["at"]))
-
-    both = F.struct(F.regexp_extract_all(value, F.lit(f"{symbol}+"), F.lit(0)).alias("g"), F.split(value, f"{symbol}+", -1).alias("gaps"))
-    return let(both, lambda x: of_groups(x["g"], x["gaps"]))
-
-
-def card_runs(key: str, value: Column) -> Column:
-    """Pieces of a run of digits."""
-
+    pattern = PATTERNS[kind]
+    names = {}
+    for wanted in ("tokens", "windows", "starts", "kept"):
+        names[wanted] = free_name(docs, wanted)
+        docs = docs.withColumn(names[wanted], F.lit(None))
+    tokens, windows, starts, kept = (names[n] for n in ("tokens", "windows", "starts", "kept"))
+
+    def token(of_kind: Column, value: Column, run: bool) -> Column:
+        none = F.expr("cast(array() as array<string>)")
+        parts = (F.regexp_extract_all(value, F.lit(f"{symbol}+"), F.lit(0)), F.split(value, f"{symbol}+", -1)) if run else (none, none)
+        return F.struct(of_kind.cast("string").alias("kind"), value.alias("value"), parts[0].alias("g"), parts[1].alias("gaps"))
+
+    def split(x: Column) -> Column:
+        none = F.lit(None)
+        matches = F.concat(F.transform(F.regexp_extract_all(x["value"], F.lit(pattern), F.lit(0)), lambda m: F.array(token(none, m, True))), F.array(F.slice(F.array(token(none, F.lit(""), False)), 1, 0)))
+        cut = F.zip_with(F.split(x["value"], pattern, -1), matches, lambda plain, m: F.concat(F.array(token(none, plain, False)), m))
+        return F.when(x["kind"].isNull() & x["value"].rlike(pattern), F.flatten(cut)).otherwise(F.array(token(x["kind"], x["value"], False)))
+
+    def text(x: Column, a: Column, b: Column) -> Column:
+        """Groups a to b - 1, each with the separator after it (that of group i is gaps[i + 1])."""
+        return F.array_join(F.zip_with(F.slice(x["g"], a + 1, b - a), F.slice(x["gaps"], a + 2, b - a), lambda group, gap: F.concat(group, gap)), "")
+
+    def indices(x: Column) -> Column:
+        return F.when(F.size(x["g"]) > 0, F.sequence(F.lit(0), F.size(x["g"]) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+
+    def of_start(x: Column, a: Column) -> Column:
+        def row(sizes: Column, k: Column, n: Column) -> Column:
+            tied = F.endswith(F.get(x["gaps"], a), F.lit("-")) | F.startswith(F.get(x["gaps"], a + k + 1), F.lit("-"))
+            return F.struct(a.alias("a"), (a + k).alias("b"), n.alias("n"), (n + F.coalesce(F.get(sizes, k + 1), F.lit(99)) > 19).alias("last"), tied.alias("cuts"), F.concat(text(x, a, a + k), F.get(x["g"], a + k)).alias("text"))
+
+        def of_sizes(sizes: Column) -> Column:
+            count = lambda k: F.aggregate(F.slice(sizes, F.lit(1), k + 1), F.lit(0), lambda acc, y: acc + y)
+            apart = lambda k: F.forall(F.slice(x["gaps"], a + 2, k), lambda gap: F.length(gap) == 1)
+            rows = F.transform(sizes, lambda _, k: let(count(k), lambda n: F.when((k < most) & n.between(13, 34) & apart(k), row(sizes, k, n))))
+            return F.filter(rows, lambda w: w.isNotNull() & valid(w))
+
+        found_here = let(F.transform(F.slice(x["g"], a + 1, F.lit(most + 1)), lambda y: F.length(y)), of_sizes)
+        return F.transform(found_here, lambda w: F.struct(rank(w).alias("rank"), (-w["n"]).alias("less"), w["a"].alias("a"), w["b"].alias("b"), w["text"].alias("text")))
+
+    def free(ends: Column, i: Column) -> Column:
+        """Whether no valid run goes over from group i - 1 to group i."""
+        first = F.greatest(i - most + 1, F.lit(0))
+        return (i == 0) | ~F.exists(F.slice(ends, first + 1, i - first), lambda e: e >= i)
+
+    def starts_of(x: Column, by_start: Column) -> Column:
+        ends = F.transform(by_start, lambda ws: F.coalesce(F.array_max(F.transform(ws, lambda w: w["b"])), F.lit(-1)))
+        return let(ends, lambda e: F.filter(indices(x), lambda i: free(e, i)))
+
+    def chosen(stretch: Column) -> Column:
+        none = F.expr("cast(array() as array<struct<a: int, b: int, text: string>>)")
+        row = lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), w["text"].alias("text"))
+        return F.sort_array(F.aggregate(F.sort_array(stretch), none, lambda acc, w: F.when(F.exists(acc, lambda k: (k["a"] <= w["b"]) & (w["a"] <= k["b"])), acc).otherwise(F.concat(acc, F.array(row(w))))))
+
+    def kept_of(at: Column, by_start: Column) -> Column:
+        stretches = F.transform(at, lambda i, k: F.flatten(F.slice(by_start, i + 1, F.coalesce(F.get(at, k + 1), F.size(by_start)) - i)))
+        return F.flatten(F.transform(F.filter(stretches, lambda y: F.size(y) > 0), chosen))
+
+    def pieces_of(x: Column, k: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            after = F.coalesce(F.get(k, i - 1)["b"] + 1, F.lit(0))
+            return F.array(_piece(None, F.concat(F.get(x["gaps"], after), text(x, after, w["a"]))), _piece(kind, make(w["text"])))
+
+        end = F.try_element_at(k, F.lit(-1))["b"] + 1
+        tail = F.array(_piece(None, F.concat(F.get(x["gaps"], end), text(x, end, F.size(x["g"])))))
+        return F.when(F.size(k) > 0, F.concat(F.flatten(F.transform(k, one)), tail)).otherwise(F.array(F.struct(x["kind"].alias("kind"), x["value"].alias("value"))))
+
+    docs = docs.withColumn(tokens, F.flatten(F.transform(F.col(found), split)))
+    docs = docs.withColumn(windows, F.transform(F.col(tokens), lambda x: F.transform(indices(x), lambda a: of_start(x, a)).cast(f"array<{_WINDOWS}>")))
+    docs = docs.withColumn(starts, F.zip_with(tokens, windows, starts_of))
+    docs = docs.withColumn(kept, F.zip_with(starts, windows, kept_of))
+    return docs.withColumn(found, _joined(F.flatten(F.zip_with(tokens, kept, pieces_of)))).drop(*names.values())
+
+
+def _card_runs(docs: DataFrame, found: str, key: str) -> DataFrame:
     def valid(w: Column) -> Column:
         planned = w["text"].rlike(_CARD_START) & ~w["text"].rlike("(?<![0-9])[0-9]{1,2}(?![0-9])")
         return (w["n"] <= 19) & (planned | ((w["a"] == 0) & w["last"])) & let(digits(w["text"]), lambda d: luhn_digit(F.substr(d, F.lit(1), F.length(d) - 1)) == F.substr(d, F.length(d), F.lit(1)))
 
-    return _sub_runs(value, "[0-9]", 19, valid, lambda w: F.when(w["cuts"], 2).otherwise(0) + F.when(w["text"].rlike(_CARD_LAYOUT), 0).otherwise(1), lambda v: card(key, v), "card")
+    return _runs_searched(docs, found, "card", "[0-9]", 19, valid, lambda w: F.when(w["cuts"], 2).otherwise(0) + F.when(w["text"].rlike(_CARD_LAYOUT), 0).otherwise(1), lambda v: card(key, v))
 
 
-def iban_runs(key: str, value: Column) -> Column:
-    """Pieces of a match of the account number's pattern that isn't valid as a whole."""
+def _iban_runs(docs: DataFrame, found: str, key: str) -> DataFrame:
+    """Of matches that aren't valid as a whole."""
     valid = lambda w: w["text"].rlike(f"^(?:{PATTERNS['iban']})$") & iban(key, w["text"]).isNotNull()
-    return _sub_runs(value, "[0-9A-Z]", 10, valid, lambda w: F.lit(0), lambda v: iban(key, v), "iban")
+    return _runs_searched(docs, found, "iban", "[0-9A-Z]", 10, valid, lambda w: F.lit(0), lambda v: iban(key, v))
 
 
 def pieces(key: str, value: Column, kinds: tuple[str, ...]) -> Column:
     """Array of struct(kind, value) of a match of one of the kinds' patterns; null kind, and the text itself, where it isn't valid."""
     made = {
-        "email": lambda: email(key, value), "secret": lambda: symbols_in_place(key, "secret", value, "hex"), "iban": lambda: iban(key, value), "ip": lambda: ip(key, value),
+        "email": lambda: email(key, value), "key": lambda: access_key(key, value), "secret": lambda: secret(key, value), "iban": lambda: iban(key, value), "ipv6": lambda: ipv6(key, value), "ip": lambda: ip(key, value),
         "date": lambda: date(key, value), "ssn": lambda: ssn(key, value), "phone": lambda: phone(key, value),
     }
-    if kinds == ("card",):
-        return card_runs(key, value)
     row = F.when(F.lit(False), _piece("", F.lit("")))
     for kind in kinds:
         row = row.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), _piece(kind, made[kind]()))
-    invalid = F.array(_piece(None, value))
-    if "iban" in kinds:
-        invalid = F.when(value.rlike(f"^(?:{PATTERNS['iban']})$"), iban_runs(key, value)).otherwise(invalid)
-    return let(row, lambda x: F.when(x["value"].isNotNull(), F.array(x)).otherwise(invalid))
+    return let(row, lambda x: F.array(F.when(x["value"].isNotNull(), x).otherwise(_piece(None, value))))
 
 
 def _joined(parts: Column) -> Column:
     """The pieces, those without a kind that follow each other made one."""
-    none = F.expr(f"cast(array() as {_PIECES})")
 
-    def add(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        both = x["kind"].isNull() & last.isNotNull() & last["kind"].isNull()
-        return F.when(both, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(_piece(None, F.concat(last["value"], x["value"]))))).otherwise(F.concat(done, F.array(x)))
+    def of(p: Column) -> Column:
+        begins = lambda i: (i == 0) | F.get(p, i)["kind"].isNotNull() | F.get(p, i - 1)["kind"].isNotNull()
+        starts = F.filter(F.sequence(F.lit(0), F.size(p) - 1), begins)
+        whole = lambda at: F.transform(at, lambda i, k: F.struct(F.get(p, i)["kind"].alias("kind"), F.array_join(F.slice(p, i + 1, F.coalesce(F.get(at, k + 1), F.size(p)) - i)["value"], "").alias("value")))
+        return F.when(F.size(p) > 0, let(starts, whole)).otherwise(p)
 
-    return F.aggregate(parts, none, add)
+    return let(parts, of)
 
 
 def searched(key: str, parts: Column, kinds: tuple[str, ...]) -> Column:
@@ -327,10 +390,13 @@ def searched(key: str, parts: Column, kinds: tuple[str, ...]) -> Column:
 
 def pseudonymise(docs: DataFrame, *, key: str = KEY, text: str = "text", kinds: str | None = None) -> DataFrame:
     """The documents with their texts' personal data replaced; ``kinds`` names a column for the kinds found, in order."""
+    if kinds and kinds.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {kinds} already")
     found, t = free_name(docs, "found"), F.col(f"`{text}`")
     out = docs.withColumn(found, F.when(t.rlike("[0-9@]"), F.array(_piece(None, t))))
-    for group in SEARCHES:  # a projection each: the analyzer takes only so many nested lambdas at once
-        out = out.withColumn(found, searched(key, F.col(found), group))
+    out = out.withColumn(found, searched(key, F.col(found), ALONE))
+    out = _card_runs(_iban_runs(out, found, key), found, key)
+    out = out.withColumn(found, searched(key, F.col(found), ("phone",)))
     out = out.withColumn(text, F.when(F.size(found) > 0, F.array_join(F.col(found)["value"], "")).otherwise(t))
     if kinds:
         out = out.withColumn(kinds, F.coalesce(F.filter(F.transform(found, lambda f: f["kind"]), lambda k: k.isNotNull()), F.expr("cast(array() as array<string>)")))
