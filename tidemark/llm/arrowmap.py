@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .session import workers_import
 
+BITMAP_BITS = 1 << 26
+
 Mapper = Callable[[pa.Array], Sequence[pa.Array]]
 
 
@@ -59,3 +63,28 @@ def filter_texts(df: DataFrame, factory: Callable[[], Callable[[pa.Array], pa.Ar
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(left.columns, arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, df.schema)
+
+
+def likely(df: DataFrame, key: Column, wanted: DataFrame, name: str, bits: int = BITMAP_BITS) -> DataFrame:
+    """The rows whose key (a hash) may be among those of the column ``name`` of ``wanted``, and no row of which it is.
+
+    A bitmap of ``bits`` bits leaves the others out where they are read, before they are shuffled to meet ``wanted`` itself.
+    """
+    spark = df.sparkSession
+    workers_import(spark)
+    slot = F.pmod(F.col(name), F.lit(bits))
+    words = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+    rows = words.toArrow()  # at most bits / 64 rows
+    bitmap = np.zeros(bits // 64, dtype=np.uint64)
+    bitmap[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(bitmap)
+    slotted = df.select(*(F.col(f"`{c}`") for c in df.columns), F.pmod(key, F.lit(bits)).alias("__slot"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy().astype(np.uint64)
+            there = (shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+            left = batch.filter(pa.array(there.astype(bool)))
+            yield pa.RecordBatch.from_arrays(left.columns[:-1], left.schema.names[:-1])
+
+    return slotted.mapInArrow(run, df.schema)

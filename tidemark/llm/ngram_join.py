@@ -3,35 +3,43 @@
 1. One pass hashes each text's set of word 5-grams and takes ``bands * rows``
    MinHash values; band and row counts come from the target recall.  Texts with
    equal sets (copies) become one representative with a count.
-2. Representatives are shuffled on their band hashes.  In each bucket every
-   member is tied to the bucket's least member, so a bucket of n members costs n
-   rows, never n^2.  Connected components of these ties are the candidate groups.
+2. Representatives are shuffled on their band hashes.  In a bucket of at most
+   ``SMALL`` members those are tied whose MinHash values agree as often as values of
+   texts at the threshold do (all but one in 10^6), so that texts that met by chance
+   connect no groups; in a larger bucket every member is tied to the least one.  A
+   bucket of n members makes less than n ties, never n^2.  Connected components of the
+   ties are the candidate groups.
 3. The members' full sets are compared inside each candidate group, by blocks of
-   bounded size; pairs are counted where they are found and are not emitted.
+   bounded size; pairs are counted where they are found and are not emitted.  Only the
+   texts of candidates are shuffled, once for a group of one block.
 
-The result has one row per document: ``class_id`` (the least document id that
+The result has one row per row of the table: ``class_id`` (the least document id that
 links connect it to), ``copy_id`` (the least id with an equal set), ``n_links``
-(other documents at or over the threshold) and ``n_grams``.
+(other rows at or over the threshold) and ``n_grams``.
 
-Defined results: a text of one to four words is a single n-gram; a null or
-wordless text has no n-grams and no links; rows whose id is null are left out;
-rows that share an id are one document if their texts agree, and otherwise the
-row of the least set key stands for it; an empty table gives an empty table.
+Defined results: a text of one to four words is a single n-gram; texts without words
+(empty, symbols only) are copies of those that are the same; a null text is no
+copy of any; ids may be null, repeated and of any type that has an order, each row is
+a document of its own, and a class of rows without ids has a null ``class_id``; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowmap import map_texts
+from .arrowmap import free_name, likely, map_texts
 from .components import components
-from .session import cut
+from .session import cut, workers_import
 from .words import Words, inside_text, ngram_hashes, word_slices
 
 N = 5
@@ -39,6 +47,7 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 128
 BLOCK = 256
+SMALL, MISSED = 64, 1e-6
 
 
 def plan_bands(threshold: float, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -88,28 +97,42 @@ def minhash(values: np.ndarray, first: np.ndarray, hashes: int, seed: int = 17)
     return out
 
 
+def least_equal(hashes: int, threshold: float, missed: float = MISSED) -> int:
+    """How many of the MinHash values of two sets at the threshold agree, but for a share ``missed`` of such pairs."""
+    below = 0.0
+    for k in range(hashes + 1):
+        below += math.comb(hashes, k) * threshold**k * (1 - threshold) ** (hashes - k)
+        if below > missed:
+            return k
+    return hashes
+
+
 def signatures(source: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
-    """(id, set_key, n_grams, bands): 128-bit key of the n-gram set and the band hashes."""
+    """(id, h, set_key, n_grams, bands, values): 128-bit key of the n-gram set (of the text where it has no words), the band hashes and a byte of each MinHash value."""
 
     def factory():
         def mapper(column: pa.Array) -> list[pa.Array]:
             keys: list[bytes | None] = []
             counts: list[int] = []
             found: list[np.ndarray | None] = []
-            for _, _, words in word_slices(column):
+            kept: list[bytes | None] = []
+            for first_row, _, words in word_slices(column):
                 values, first = gram_sets(words, n)
-                sig = minhash(values, first, bands * rows).reshape(-1, bands, rows)
+                sig = minhash(values, first, bands * rows)
+                low = sig.astype(np.uint8)
                 for i in range(len(first) - 1):
                     own = np.unique(values[first[i] : first[i + 1]])
                     counts.append(len(own))
-                    keys.append(set_key(own))
-                    found.append(band_hashes(sig[i]) if len(own) else None)
-            return [pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+                    text = column[first_row + i] if not len(own) else None
+                    keys.append(set_key(own) if len(own) else hashlib.blake2b(b"wordless" + text.as_py().encode(), digest_size=16).digest() if text.is_valid else None)
+                    found.append(band_hashes(sig[i].reshape(bands, rows)) if len(own) else None)
+                    kept.append(low[i].tobytes() if len(own) else None)
+            return [pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
 
         return mapper
 
-    fields = [T.StructField("set_key", T.BinaryType()), T.StructField("n_grams", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    return map_texts(source, factory, fields, "text", ["id"])
+    fields = [T.StructField("set_key", T.BinaryType()), T.StructField("n_grams", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("values", T.BinaryType())]
+    return map_texts(source, factory, fields, "text", ["id", "h"])
 
 
 def band_hashes(sig: np.ndarray) -> np.ndarray:
@@ -205,40 +228,78 @@ def _forest(a: np.ndarray, b: np.ndarray, link: np.ndarray, n: int) -> np.ndarra
             return label
 
 
-def join(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, class_id, copy_id, n_links, n_grams."""
-    bands, rows = plan_bands(threshold, recall)
-    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("id is not null")
-    signed = signatures(source, bands, rows, n)
-    members = cut(signed.groupBy("id").agg(F.min_by(F.struct("set_key", "n_grams", "bands"), "set_key").alias("m")).select("id", "m.*"))
-    reps = cut(members.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
-
+def ties(reps: DataFrame, least: int, small: int = SMALL) -> DataFrame:
+    """(src, dst) between representatives (rep, bands, values) that share a bucket, fewer than the buckets' members."""
     banded = reps.select("rep", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1").select("band", "hub")
-    ties = banded.join(hubs, "band").where("rep <> hub").select(F.col("rep").alias("src"), F.col("hub").alias("dst"))
-    groups = components(ties)
+    buckets = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
+    inside = cut(banded.join(buckets, "band"))
+    large = inside.where(F.col("size") > small).where("rep <> hub").select(F.col("rep").alias("src"), F.col("hub").alias("dst"))
+    members = inside.where(F.col("size") <= small).select("band", "rep").join(reps.select("rep", "values"), "rep")
+    lists = members.groupBy("band").agg(F.collect_list(F.struct("rep", "values")).alias("members")).select("members")  # of at most ``small``
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            inner = lists.flatten()
+            ids, off = inner.field("rep").to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            values = np.frombuffer(b"".join(inner.field("values").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+            src, dst = [], []
+            for i, j in zip(off[:-1], off[1:], strict=True):
+                alike = (values[i:j, None, :] == values[None, i:j, :]).sum(axis=2) >= least
+                label = _forest(np.arange(j - i), np.arange(j - i), alike, j - i)
+                at = np.flatnonzero(label != np.arange(j - i))
+                src.append(ids[i + at])
+                dst.append(ids[i + label[at]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src or [np.zeros(0, np.int64)])), pa.array(np.concatenate(dst or [np.zeros(0, np.int64)]))], ["src", "dst"])
+
+    workers_import(reps.sparkSession)
+    alike = lists.mapInArrow(run, "src bigint, dst bigint")
+    return large.unionByName(alike).distinct()
+
+
+def _classed(docs: DataFrame, threshold: float, recall: float, n: int, doc_id: str, text: str, block: int, small: int) -> DataFrame:
+    """(id, h, n_grams, copy_id, n_links, label, class_id) of each row; h hashes the text, label names the class (null: a row of its own)."""
+    bands, rows = plan_bands(threshold, recall)
+    source = docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("h"), F.col(f"`{text}`").cast("string").alias("text"))
+    members = cut(signatures(source, bands, rows, n))
+    pick = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h"))
+    grouped = members.where("set_key is not null").groupBy("set_key").agg(pick.alias("pick"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("values").alias("values"))
+    reps = cut(grouped.withColumn("rep", F.monotonically_increasing_id()))  # numbers that stay: the table is written
 
+    groups = components(ties(reps.where("bands is not null"), least_equal(bands * rows, threshold), small))
     sizes = groups.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = groups.join(sizes, "label").join(reps.select("set_key", "rep", "copies"), F.col("node") == F.col("rep"))
-    placed = placed.select("label", F.col("node").alias("id"), "set_key", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    dealt = source.join(placed, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "set_key", "copies", "block", "text")
+    placed = groups.join(sizes, "label").join(reps.select("set_key", "rep", "copies", F.col("pick.id").alias("pick_id"), F.col("pick.h").alias("pick_h")), F.col("node") == F.col("rep"))
+    placed = cut(placed.select("label", "rep", "set_key", "copies", "blocks", "pick_id", "pick_h", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")))
+    # the candidates' texts, and of the others only those that a bitmap can't tell from them
+    texts = likely(source, F.xxhash64("id", "h"), placed.select(F.xxhash64("pick_id", "pick_h").alias("key")), "key")
+    dealt = texts.join(placed, texts["id"].eqNullSafe(placed["pick_id"]) & (texts["h"] == placed["pick_h"])).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.col("rep").alias("id"), "set_key", "copies", "block", "text")
     found = cut(dealt.groupBy("label", "low", "high").applyInPandas(_verify(threshold, n), PAIRED))
 
     counts = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("id").alias("src"), F.col("near").alias("dst"))).withColumnRenamed("node", "rep")
-    per_set = reps.select("set_key", "rep", "copies").join(counts, "rep", "left").join(classes, "rep", "left")
-    per_set = per_set.select("set_key", "rep", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    worded = members.where("set_key is not null").join(per_set, "set_key").select("id", "class_id", "rep", "n_links", "n_grams")
-    alone = members.where("set_key is null").select("id", F.col("id").alias("class_id"), F.col("id").alias("rep"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_grams"))
-    return worded.unionByName(alone).select(F.col("id").alias("doc_id"), "class_id", F.col("rep").alias("copy_id"), F.col("n_links").cast("long").alias("n_links"), "n_grams")
-
-
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are the least of their class (all of a wordless or null text's rows), columns as they were.
-
-    Rows with a null id stay: they take no part in the join.
-    """
-    key = options.get("doc_id", "doc_id")
-    gone = join(docs, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[f"`{key}`"].cast("long") == gone["__gone"], "left_anti")
+    per_set = reps.select("set_key", "rep", "copies", F.col("pick.id").alias("copy_id")).join(counts, "rep", "left").join(classes, "rep", "left")
+    per_set = per_set.select("set_key", "copy_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "rep").alias("label"))
+    least = per_set.groupBy("label").agg(F.min("copy_id").alias("class_id"))
+    per_set = per_set.join(least, "label")
+    alone = members.where("set_key is null").select("id", "h", "n_grams", F.col("id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("label"), F.col("id").alias("class_id"))
+    return members.where("set_key is not null").select("id", "h", "n_grams", "set_key").join(per_set, "set_key").select(alone.columns).unionByName(alone)
+
+
+def join(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, small: int = SMALL) -> DataFrame:
+    """One row per row: doc_id, class_id, copy_id, n_links, n_grams."""
+    return _classed(docs, threshold, recall, n, doc_id, text, block, small).select(F.col("id").alias("doc_id"), "class_id", "copy_id", F.col("n_links").cast("long").alias("n_links"), "n_grams")
+
+
+def one_of_each(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, small: int = SMALL) -> DataFrame:
+    """One row of each class, that of the least id (a row without an id only where none has one), columns as they were; rows with a null text stay."""
+    rows = cut(_classed(docs, threshold, recall, n, doc_id, text, block, small).select("id", "h", "label"))
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "h")
+    stays = rows.where("label is not null").groupBy("label").agg(F.min(order).alias("stays"))
+    gone = rows.join(stays, "label").where(~(F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("h") == F.col("stays.h")))).select(F.col("id").alias("__gone_id"), F.col("h").alias("__gone_h")).distinct()
+    # of rows that are repeated, id and text, one stays; they meet where the rows that go are looked for
+    key, hashed, number = (free_name(docs, x) for x in ("key", "hashed", "number"))
+    marked = docs.withColumn(key, F.col(f"`{doc_id}`")).withColumn(hashed, F.xxhash64(F.col(f"`{text}`").cast("string")))
+    left = marked.join(gone, marked[key].eqNullSafe(gone["__gone_id"]) & (marked[hashed] == gone["__gone_h"]), "left_anti")
+    first = F.row_number().over(Window.partitionBy(key, hashed).orderBy(hashed))
+    return left.withColumn(number, first).where((F.col(number) == 1) | F.col(f"`{text}`").isNull()).drop(key, hashed, number)
