@@ -1,13 +1,15 @@
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 
-import pyarrow as pa
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate as D
-from tidemark.llm.words import word_slices
+from tidemark.llm.arrowmap import bitmap
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -50,36 +52,60 @@ def corpus(seed=3):
     return texts, items
 
 
-def test_against_brute_force():
-    texts, items = corpus()
-    index = D.BenchmarkIndex(items)
-    got = []
-    for _, _, words in word_slices(pa.array(texts), limit=500):
-        counts, found = D.scan_words(index, words)
-        got += [(int(n), sum(b - a for a, b in spans), names) for n, (spans, names) in zip(counts, found, strict=True)]
-    assert got == brute(texts, items)
+def found(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    return docs, bench, {r.doc_id: (r.n_words, sum(s.end - s.start for s in r.spans), r["items"]) for r in D.scan(docs, bench).collect()}
 
 
-def test_ten_word_items_only():
-    texts, items = corpus(5)
-    items = [(n, t) for n, t in items if len(t.split()) >= 10]
-    index = D.BenchmarkIndex(items)
-    got = [(sum(b - a for a, b in spans), names) for _, _, words in word_slices(pa.array(texts)) for spans, names in D.scan_words(index, words)[1]]
-    assert got == [x[1:] for x in brute(texts, items)]
+@pytest.mark.parametrize("seed, least", [(3, 0), (5, 10)])
+def test_against_brute_force(spark, monkeypatch, seed, least):
+    """Items of all lengths, or of ten words and more only; slices of a few texts and of many."""
+    texts, items = corpus(seed)
+    items = [(n, t) for n, t in items if len(t.split()) >= least]
+    _, _, got = found(spark, texts, items)
+    assert got == dict(enumerate(brute(texts, items)))
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 1500])
-def test_frames_and_blocks(spark, block_bytes):
+def test_report_and_clean(spark):
     texts, items = corpus(7)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    bench = spark.createDataFrame([*items, (None, "a null name has ten words that it marks in texts"), ("1", None)], "item_id string, text string")
-    rows = {r.doc_id: (r.n_words, r.n_hit) for r in D.report(D.scan(docs, bench, block_bytes=block_bytes)).collect()}
-    expected = brute(texts, items + [(None, "a null name has ten words that it marks in texts")])
-    assert rows == {i: e[:2] for i, e in enumerate(expected)}
-    found = {r.doc_id: r["items"] for r in D.scan(docs, bench, block_bytes=block_bytes).collect()}
-    assert found == {i: e[2] for i, e in enumerate(expected)}
-    kept = {r.doc_id for r in D.clean(docs, bench, block_bytes=block_bytes).collect()}
-    assert kept == {i for i, e in enumerate(expected) if not e[1]}
+    items = [*items, (None, "a null name has ten words that it marks in texts"), ("1", None)]
+    texts = [*texts, "so a null name has ten words that it marks in texts here"]
+    docs, bench, got = found(spark, texts, items)
+    expected = brute(texts, items[:-1])
+    assert got == dict(enumerate(expected)) and expected[-1] == (13, 11, [])
+    rows = {r.doc_id: r for r in D.report(D.scan(docs, bench)).collect()}
+    for i, (n, hit, names) in enumerate(expected):
+        assert (rows[i].n_words, rows[i].n_hit, rows[i].n_items, rows[i].contaminated) == (n, hit, len(names), hit > 0)
+        assert rows[i].items_sha256 == hashlib.sha256(",".join(names).encode()).hexdigest()
+    assert {r.doc_id for r in D.clean(docs, bench).collect()} == {i for i, e in enumerate(expected) if not e[1]}
+
+
+def test_full_bitmaps_change_nothing(spark, monkeypatch):
+    """The bitmaps only spare work: with all bits set the results are the same."""
+    monkeypatch.setattr(D, "bitmap", lambda wanted, name: np.full(1 << 10, ~np.uint64(0)))
+    texts, items = corpus(9)
+    _, _, got = found(spark, texts, items)
+    assert got == dict(enumerate(brute(texts, items)))
+
+
+def test_many_documents_share_a_passage(spark):
+    """One passage in every document, in several items: each is hit, and the rows are dealt out among the salts."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    items = [(f"i{k}", f"x{k} {passage} y{k}") for k in range(3)]
+    texts = [f"d{i} {passage} e{i}" for i in range(400)] + ["nothing here"]
+    _, _, got = found(spark, texts, items)
+    assert all(got[i] == (32, 30, ["i0", "i1", "i2"]) for i in range(400)) and got[400] == (2, 0, [])
+
+
+def test_no_text_of_the_benchmark_reaches_the_driver(spark, monkeypatch):
+    """Nothing but bitmaps of a fixed size and the lengths of short items."""
+    seen = []
+    monkeypatch.setattr(D, "bitmap", lambda wanted, name: (seen.append(wanted.columns), bitmap(wanted, name))[1])
+    bench = spark.range(3000).select(F.col("id").cast("string").alias("item_id"), F.concat_ws(" ", *(F.concat(F.lit("t"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(100000)).cast("string")) for k in range(40))).alias("text"))
+    docs = bench.select(F.col("item_id").cast("long").alias("doc_id"), F.concat(F.lit("start "), "text").alias("text"))
+    assert D.report(D.scan(docs, bench)).where("n_hit = 40 and n_items = 1").count() == 3000
+    assert seen == [["print"], ["w"]]
 
 
 def test_awkward(spark, awkward, empty):

@@ -65,26 +65,43 @@ def filter_texts(df: DataFrame, factory: Callable[[], Callable[[pa.Array], pa.Ar
     return df.mapInArrow(run, df.schema)
 
 
-def likely(df: DataFrame, key: Column, wanted: DataFrame, name: str, bits: int = BITMAP_BITS) -> DataFrame:
-    """The rows whose key (a hash) may be among those of the column ``name`` of ``wanted``, and no row of which it is.
+def bitmap(wanted: DataFrame, name: str, bits: int = BITMAP_BITS) -> np.ndarray:
+    """A bitmap of the hashes in a column, on the driver: ``bits`` bits whatever the table."""
+    slot = F.pmod(F.col(name), F.lit(bits))
+    words = wanted.where(F.col(name).isNotNull()).select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+    rows = words.toArrow()  # at most bits / 64 rows
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
 
-    A bitmap of ``bits`` bits leaves the others out where they are read, before they are shuffled to meet ``wanted`` itself.
+def in_bitmap(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of some hashes a bitmap may hold."""
+    at = hashes.view(np.uint64) & np.uint64(len(held) * 64 - 1)
+    return ((held[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def split_likely(df: DataFrame, key: Column, wanted: DataFrame, name: str, bits: int = BITMAP_BITS) -> tuple[DataFrame, DataFrame]:
+    """(the rows whose key, a hash, may be among those of the column ``name`` of ``wanted``; the others, of which it is not).
+
+    A bitmap of ``bits`` bits tells them apart where they are read, before any is shuffled to meet ``wanted`` itself.
     """
     spark = df.sparkSession
     workers_import(spark)
-    slot = F.pmod(F.col(name), F.lit(bits))
-    words = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-    rows = words.toArrow()  # at most bits / 64 rows
-    bitmap = np.zeros(bits // 64, dtype=np.uint64)
-    bitmap[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(bitmap)
-    slotted = df.select(*(F.col(f"`{c}`") for c in df.columns), F.pmod(key, F.lit(bits)).alias("__slot"))
+    shared = spark.sparkContext.broadcast(bitmap(wanted, name, bits))
+    keyed = df.select(*(F.col(f"`{c}`") for c in df.columns), key.alias("__key"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(batch.num_columns - 1).to_numpy().astype(np.uint64)
-            there = (shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
-            left = batch.filter(pa.array(there.astype(bool)))
-            yield pa.RecordBatch.from_arrays(left.columns[:-1], left.schema.names[:-1])
+    def keep(there: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                left = batch.filter(pa.array(in_bitmap(shared.value, batch.column(batch.num_columns - 1).to_numpy()) == there))
+                yield pa.RecordBatch.from_arrays(left.columns[:-1], left.schema.names[:-1])
+
+        return run
 
-    return slotted.mapInArrow(run, df.schema)
+    return keyed.mapInArrow(keep(True), df.schema), keyed.mapInArrow(keep(False), df.schema)
+
+
+def likely(df: DataFrame, key: Column, wanted: DataFrame, name: str, bits: int = BITMAP_BITS) -> DataFrame:
+    """The first part of :func:`split_likely`."""
+    return split_likely(df, key, wanted, name, bits)[0]

@@ -1,19 +1,19 @@
 """Benchmark decontamination by winnowed fingerprints (operator 10).
 
-Of every run of ``WINDOW - GRAM + 1`` consecutive word 5-grams the one with the
-least hash is kept, in the benchmark and in the documents; any span of ten words
-that both share therefore shares a kept 5-gram.  Each shared 5-gram is extended:
-the ten-word windows around it are looked up among the benchmark's windows and
-compared word by word.  Benchmark items of fewer than ten words are one window
-each and are looked up directly by their length.
-
-The benchmark goes to the executors in blocks whose text is at most
-``BLOCK_BYTES``; a larger benchmark takes more passes, and no document is shuffled.
-
-Defined results: a null or wordless text has no words and no hits; a null or
-wordless item has no window; an item whose id is null marks words but is not
-listed; items that share an id are one item; repeated document rows give
-repeated results; with an empty benchmark nothing is hit.
+Of every run of ``WINDOW - GRAM + 1`` consecutive word 5-grams the one with the least hash is kept, in the benchmark and
+in the documents: its fingerprints.  Any ten words that both share therefore share a fingerprint.  The documents'
+fingerprints are joined to the benchmark's, and each hit is extended: the words before and after it are compared, up to
+``WINDOW - GRAM`` on each side, which are all that a window with this fingerprint can hold.  A benchmark item of fewer than
+ten words is one window; it is its own fingerprint, joined to the documents' runs of as many words.
+
+Nothing of the benchmark is held in one place but two bitmaps of a fixed size, one of its fingerprints and one of
+its windows.  A document's fingerprint takes part in the join if both may hold it, so that few rows but real hits are
+shuffled; no text is.  The benchmark's rows are repeated ``SALTS`` times, and the documents' dealt out among them, so
+that a passage which very many documents share is not joined by one task.
+
+Defined results: a null or wordless text has no words and no hits; a null or wordless item has no window; an item whose id
+is null marks words but is not listed; items that share an id are one item; repeated document rows give repeated results;
+with an empty benchmark nothing is hit.
 """
 
 from __future__ import annotations
@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowmap import filter_texts, map_texts
-from .session import cut
+from .arrowmap import bitmap, in_bitmap, map_texts, split_likely
+from .session import cut, workers_import
 from .words import Words, inside_text, ngram_hashes, word_slices
 
 WINDOW = 10
 GRAM = 5
-BLOCK_BYTES = 16 << 20
+SALTS = 16
 
 
 def winnow(grams: np.ndarray, ok: np.ndarray, span: int) -> np.ndarray:
@@ -54,158 +54,160 @@ def winnow(grams: np.ndarray, ok: np.ndarray, span: int) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
-def find_sorted(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(indices into values, indices into table) of the values that the sorted table holds."""
-    if not len(table) or not len(values):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.searchsorted(table, values)
-    at[at == len(table)] = 0
-    hit = np.flatnonzero(table[at] == values)
-    return hit, at[hit]
-
-
-class BenchmarkIndex:
-    """Winnowed fingerprints and windows of one block of the benchmark."""
-
-    def __init__(self, items: Sequence[tuple[str | None, str]]):
-        self.fingerprints = np.zeros(0, dtype=np.uint64)
-        self.windows: dict[int, tuple[np.ndarray, list[list[tuple[bytes, set[str]]]]]] = {}
-        prints: list[np.ndarray] = []
-        by_length: dict[int, dict[int, dict[bytes, set[str]]]] = {}
-        for _, _, words in word_slices(pa.array([t for _, t in items], pa.large_string())):
-            of = words.text_of_word()
-            grams = ngram_hashes(words.hash, GRAM)
-            prints.append(grams[winnow(grams, inside_text(of, GRAM), WINDOW - GRAM + 1)])
-            self._collect(words, items, by_length)
-            items = items[len(words.first) - 1 :]
-        if prints:
-            self.fingerprints = np.unique(np.concatenate(prints))
-        for length, table in by_length.items():
-            keys = np.array(sorted(table), dtype=np.uint64)
-            self.windows[length] = keys, [list(table[int(k)].items()) for k in keys]
-
-    @staticmethod
-    def _collect(words: Words, items: Sequence[tuple[str | None, str]], by_length: dict) -> None:
-        lengths = np.diff(words.first)
-        for n in {min(int(x), WINDOW) for x in lengths if x}:
-            hashes = ngram_hashes(words.hash, n)
-            table = by_length.setdefault(n, {})
-            for i in np.flatnonzero(lengths >= WINDOW if n == WINDOW else lengths == n):
-                name = items[i][0]
-                for p in range(words.first[i], words.first[i + 1] - n + 1):
-                    ids = table.setdefault(int(hashes[p]), {}).setdefault(spelled(words, p, n), set())
-                    if name is not None:
-                        ids.add(name)
-
-    def hits(self, words: Words) -> list[tuple[int, int, set[str]]]:
-        """(first word, number of words, item ids) of every occurrence of a window."""
-        found: list[tuple[int, int, set[str]]] = []
-        of = words.text_of_word()
-        for length, (keys, texts) in self.windows.items():
-            if len(words.hash) < length:
-                continue
-            if length == WINDOW:
-                grams = ngram_hashes(words.hash, GRAM)
-                kept = winnow(grams, inside_text(of, GRAM), WINDOW - GRAM + 1)
-                shared, _ = find_sorted(self.fingerprints, grams[kept])
-                if not len(shared):
-                    continue
-                starts = np.unique((kept[shared][:, None] - np.arange(WINDOW - GRAM + 1)).ravel())
-                starts = starts[(starts >= 0) & (starts + WINDOW <= len(of))]
-                values = ngram_hashes(words.hash, WINDOW)[starts] if len(starts) * 8 > len(of) else np.array([ngram_hashes(words.hash[s : s + WINDOW], WINDOW)[0] for s in starts], dtype=np.uint64)
-            else:
-                values = ngram_hashes(words.hash, length)
-                starts = np.arange(len(values))
-            at, key = find_sorted(keys, values)
-            inside = of[starts[at]] == of[starts[at] + length - 1]
-            for s, k in zip(starts[at][inside].tolist(), key[inside].tolist(), strict=True):
-                text = spelled(words, s, length)
-                found += [(s, length, ids) for spelling, ids in texts[k] if spelling == text]
-        return found
-
-
-def spelled(words: Words, at: int, n: int) -> bytes:
-    return b" ".join(words.word(i) for i in range(at, at + n))
-
-
-def scan_words(index: BenchmarkIndex, words: Words) -> tuple[np.ndarray, list[tuple[list[list[int]], list[str]]]]:
-    """Word counts and, for each text, its hit spans [first, end) and item ids."""
-    counts = np.diff(words.first)
-    spans: list[tuple[list[list[int]], set[str]]] = [([], set()) for _ in counts]
-    for s, n, ids in sorted(index.hits(words), key=lambda x: x[0]):
-        i = int(np.searchsorted(words.first, s, side="right")) - 1
-        a = s - int(words.first[i])
-        own, names = spans[i]
-        if own and a <= own[-1][1]:
-            own[-1][1] = max(own[-1][1], a + n)
-        else:
-            own.append([a, a + n])
-        names |= ids
-    return counts, [(own, sorted(names)) for own, names in spans]
-
-
-def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int) -> list[list[tuple[str | None, str]]]:
-    """The items in blocks of bounded size, each fetched by a query of its own."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    parts = max(1, -(-2 * total // block_bytes))
-    if total <= block_bytes:
-        return [[tuple(r) for r in items.collect()]]
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts)))
-    return [[(r.id, r.text) for r in dealt.where(F.col("part") == p).collect()] for p in range(parts)]
+def fingerprints(words: Words, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the kept 5-grams."""
+    grams = ngram_hashes(words.hash, GRAM)
+    at = winnow(grams, inside_text(of, GRAM), WINDOW - GRAM + 1)
+    return at, grams[at].view(np.int64)
+
+
+def runs(words: Words, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of all runs of n words inside a text."""
+    at = np.flatnonzero(inside_text(of, n))
+    return at, (ngram_hashes(words.hash, n)[at] ^ np.uint64(n)).view(np.int64)
+
+
+#: A fingerprint: its hash, its words (all of a short item's), and those before (nearest first) and after it.
+PRINT = [T.StructField("print", T.LongType()), T.StructField("mid", T.StringType()), T.StructField("before", T.ArrayType(T.StringType())), T.StructField("after", T.ArrayType(T.StringType()))]
+_PRINT = pa.struct([("print", pa.int64()), ("mid", pa.string()), ("before", pa.list_(pa.string())), ("after", pa.list_(pa.string())), ("at", pa.int64())])
+
+
+def _print(words: Words, of: np.ndarray, p: int, n: int, value: int) -> dict:
+    text = of[p]
+    first, end = int(words.first[text]), int(words.first[text + 1])
+    spell = lambda places: [words.word(i).decode() for i in places]
+    near = WINDOW - GRAM if n == GRAM else 0
+    return {"print": int(value), "mid": " ".join(spell(range(p, p + n))), "before": spell(range(p - 1, max(p - 1 - near, first - 1), -1)), "after": spell(range(p + n, min(p + n + near, end))), "at": p - first}
+
+
+def benchmark_prints(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(item, n, print, mid, before, after, windows) of every item: n is 5, or the number of words of a short item; windows are the hashes of those that hold the print."""
+
+    def factory():
+        def mapper(column: pa.Array) -> list[pa.Array]:
+            out: list[list[dict]] = []
+            for _, _, words in word_slices(column):
+                of = words.text_of_word()
+                whole = ngram_hashes(words.hash, WINDOW).view(np.int64)
+                by_text: list[list[dict]] = [[] for _ in range(len(words.first) - 1)]
+                at, values = fingerprints(words, of)
+                for p, v in zip(at.tolist(), values.tolist(), strict=True):
+                    first, end = int(words.first[of[p]]), int(words.first[of[p] + 1])
+                    starts = range(max(first, p - WINDOW + GRAM), min(p, end - WINDOW) + 1)
+                    by_text[of[p]].append(_print(words, of, p, GRAM, v) | {"n": 0, "windows": [int(whole[s]) for s in starts]})
+                for i, n in enumerate(np.diff(words.first).tolist()):
+                    if 0 < n < WINDOW:
+                        p = int(words.first[i])
+                        value = int((ngram_hashes(words.hash[p : p + n], n)[:1] ^ np.uint64(n)).view(np.int64)[0])
+                        by_text[i].append(_print(words, of, p, n, value) | {"before": [], "after": [], "n": n, "windows": []})
+                out += by_text
+            return [pa.array(out, pa.list_(pa.struct([*_PRINT, pa.field("n", pa.int64()), pa.field("windows", pa.list_(pa.int64()))])))]
+
+        return mapper
+
+    kind = T.ArrayType(T.StructType([*PRINT, T.StructField("at", T.LongType()), T.StructField("n", T.LongType()), T.StructField("windows", T.ArrayType(T.LongType()))]))
+    items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{item_text}`").cast("string").alias("text"))
+    found = map_texts(items, factory, [T.StructField("prints", kind)], "text", ["item"])
+    return found.select("item", F.explode("prints").alias("p")).select("item", "p.n", "p.print", "p.mid", "p.before", "p.after", "p.windows")
+
+
+def _likely_prints(source: DataFrame, prints_map, windows_map, lengths: list[int]) -> DataFrame:
+    """(k.., h, n_words, prints) of the documents (k.., h, text): the fingerprints that the bitmaps may hold."""
+
+    def factory():
+        def mapper(column: pa.Array) -> list[pa.Array]:
+            counts: list[np.ndarray] = []
+            out: list[list[dict]] = []
+            for _, _, words in word_slices(column):
+                of = words.text_of_word()
+                by_text: list[list[dict]] = [[] for _ in range(len(words.first) - 1)]
+                at, values = fingerprints(words, of)
+                there = in_bitmap(prints_map.value, values)
+                at, values = at[there], values[there]
+                if len(at):
+                    whole = ngram_hashes(words.hash, WINDOW).view(np.int64)
+                    starts = at[:, None] - np.arange(WINDOW - GRAM + 1)
+                    inside = (starts >= 0) & (starts + WINDOW <= len(of))
+                    inside &= of[np.maximum(starts, 0)] == of[np.minimum(starts + WINDOW, len(of)) - 1]
+                    held = inside & in_bitmap(windows_map.value, whole[np.clip(starts, 0, max(len(whole) - 1, 0))]) if len(whole) else np.zeros_like(inside)
+                    for p, v in zip(at[held.any(axis=1)].tolist(), values[held.any(axis=1)].tolist(), strict=True):
+                        by_text[of[p]].append(_print(words, of, p, GRAM, v) | {"n": 0})
+                for n in lengths:
+                    at, values = runs(words, of, n)
+                    there = in_bitmap(prints_map.value, values)
+                    for p, v in zip(at[there].tolist(), values[there].tolist(), strict=True):
+                        by_text[of[p]].append(_print(words, of, p, n, v) | {"before": [], "after": [], "n": n})
+                out += by_text
+                counts.append(np.diff(words.first))
+            return [pa.array(np.concatenate(counts), pa.int64()), pa.array(out, pa.list_(pa.struct([*_PRINT, pa.field("n", pa.int64())])))]
+
+        return mapper
+
+    kind = T.ArrayType(T.StructType([*PRINT, T.StructField("at", T.LongType()), T.StructField("n", T.LongType())]))
+    return map_texts(source, factory, [T.StructField("n_words", T.LongType()), T.StructField("prints", kind)], "text", [c for c in source.columns if c != "text"])
+
+
+def _alike(a: str, b: str):
+    """How many of the first words of two arrays agree, one after the other."""
+    out = F.lit(0)
+    for i in range(WINDOW - GRAM - 1, -1, -1):
+        out = F.when(F.get(a, F.lit(i)) == F.get(b, F.lit(i)), out + 1).otherwise(0)
+    return out
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, text: str, keep: Sequence[str], item_id: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """((k.., h, n_words) of each row, (k.., h, start, end, item) of each hit); h hashes the text."""
+    workers_import(docs.sparkSession)
+    theirs = cut(benchmark_prints(benchmark, item_id, item_text))
+    lengths = sorted(r.n for r in theirs.where("n > 0").select("n").distinct().collect())  # below WINDOW
+    spark = docs.sparkSession.sparkContext
+    prints_map = spark.broadcast(bitmap(theirs.select("print"), "print"))
+    windows_map = spark.broadcast(bitmap(theirs.select(F.explode("windows").alias("w")), "w"))
+    keys = [f"k{i}" for i in range(len(keep))]
+    source = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(keep, keys, strict=True)), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("h"), F.col(f"`{text}`").cast("string").alias("text"))
+    found = cut(_likely_prints(source, prints_map, windows_map, lengths))
+    ours = found.select(*keys, "h", F.explode("prints").alias("p")).distinct().select(*keys, "h", "p.*", F.pmod(F.xxhash64(*keys, "h", "p.at"), F.lit(SALTS)).alias("salt"))
+    salted = theirs.select("item", "n", "print", "mid", F.col("before").alias("before_"), F.col("after").alias("after_"), F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALTS)))).alias("salt"))
+    joined = ours.join(salted, ["salt", "print", "n", "mid"]).withColumn("l", _alike("before", "before_")).withColumn("r", _alike("after", "after_"))
+    size = F.when(F.col("n") > 0, F.col("n")).otherwise(GRAM)
+    hits = joined.where(f"n > 0 or l + r + {GRAM} >= {WINDOW}").select(*keys, "h", (F.col("at") - F.col("l")).alias("start"), (F.col("at") + size + F.col("r")).alias("end"), "item")
+    return found.select(*keys, "h", "n_words"), hits
 
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: Sequence[str] = ("doc_id",), item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: Sequence[str] = ("doc_id",), item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``keep`` columns, ``n_words``, ``spans`` (hit word ranges, end exclusive, merged) and ``items`` (sorted ids)."""
-    blocks = _blocks(benchmark, item_id, item_text, block_bytes)
-    out = None
-    for block in blocks:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def factory(shared=shared):
-            index = BenchmarkIndex(shared.value)
-
-            def mapper(column: pa.Array) -> list[pa.Array]:
-                n_words, spans, items = [], [], []
-                for _, _, words in word_slices(column):
-                    counts, found = scan_words(index, words)
-                    n_words.append(counts)
-                    spans += [[{"start": a, "end": b} for a, b in own] for own, _ in found]
-                    items += [names for _, names in found]
-                return [
-                    pa.array(np.concatenate(n_words), pa.int64()),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array(items, pa.list_(pa.string())),
-                ]
-
-            return mapper
-
-        fields = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType()))]
-        if out is None:
-            carried = list(keep) if len(blocks) == 1 else [*keep, *([text] if text not in keep else [])]
-            out = map_texts(docs, factory, fields, text, carried)
-        else:
-            before = out.withColumnRenamed("spans", "spans_before").withColumnRenamed("items", "items_before").drop("n_words")
-            out = map_texts(cut(before), factory, fields, text, before.columns)
-            out = out.withColumns({"spans": F.concat("spans_before", "spans"), "items": F.array_sort(F.array_union("items_before", "items"))}).drop("spans_before", "items_before")
-    if len(blocks) > 1:
-        out = out.withColumn("spans", merged_spans("spans")).select(*keep, "n_words", "spans", "items")
-    return out
+    rows, hits = _hits(docs, benchmark, text, keep, item_id, item_text)
+    keys = [c for c in rows.columns if c != "n_words"]
+    by_row = hits.groupBy(*keys).agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
+    merged = by_row.select(*(F.col(c).alias(f"_{c}") for c in keys), *_merged("spans"), "items")
+    same = [rows[c].eqNullSafe(F.col(f"_{c}")) for c in keys]
+    condition = same[0]
+    for s in same[1:]:
+        condition = condition & s
+    none = F.expr(f"cast(array() as {SPANS})")
+    return rows.join(merged, condition, "left").select(*(F.col(k).alias(c) for k, c in zip(keys, keep, strict=False)), "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
 
 
-def merged_spans(column: str):
-    """Overlapping and touching ranges of an array of (start, end) made one."""
-    return F.aggregate(
-        F.array_sort(column),
-        F.expr(f"cast(array() as {SPANS})"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)["end"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
+def _merged(column: str) -> list:
+    """Overlapping and touching ranges of an array of (start, end) made one: a range begins where no earlier one reaches."""
+
+    @F.pandas_udf(SPANS)
+    def merge(spans):
+        out = []
+        for one in spans:
+            a = np.array(sorted((int(x["start"]), int(x["end"])) for x in one), dtype=np.int64).reshape(-1, 2)
+            reach = np.maximum.accumulate(a[:, 1])
+            first = np.flatnonzero(np.append(True, a[1:, 0] > reach[:-1]))
+            last = np.append(first[1:] - 1, len(a) - 1)
+            out.append([{"start": int(s), "end": int(e)} for s, e in zip(a[first, 0], reach[last], strict=True)])
+        import pandas as pd
+
+        return pd.Series(out, dtype=object)
+
+    return [merge(column).alias(column)]
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -216,19 +218,11 @@ def report(found: DataFrame) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
-    """The documents that share no window with the benchmark, with their columns as they were."""
-    blocks = _blocks(benchmark, options.get("item_id", "item_id"), options.get("item_text", "text"), options.get("block_bytes", BLOCK_BYTES))
-    for block in blocks:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def factory(shared=shared):
-            index = BenchmarkIndex(shared.value)
-
-            def mapper(column: pa.Array) -> pa.Array:
-                return pa.array([not own for _, _, words in word_slices(column) for own, _ in scan_words(index, words)[1]], pa.bool_())
-
-            return mapper
-
-        docs = filter_texts(docs if block is blocks[0] else cut(docs), factory, text)
-    return docs
+def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents that share no window with the benchmark, with their columns as they were; only texts that may be hit are shuffled."""
+    _, hits = _hits(docs, benchmark, text, [doc_id], item_id, item_text)
+    gone = cut(hits.select(F.col("k0").alias("__gone_id"), F.col("h").alias("__gone_h")).distinct())
+    key = F.xxhash64(F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`").cast("string")))
+    maybe, others = split_likely(docs, key, gone.select(F.xxhash64("__gone_id", "__gone_h").alias("key")), "key")
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__gone_id")) & (F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col("__gone_h"))
+    return others.unionByName(maybe.join(gone, same, "left_anti"))

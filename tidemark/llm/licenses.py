@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowmap import free_name, map_texts
-from .decontaminate import find_sorted, winnow
-from .words import Words, inside_text, ngram_hashes, word_slices
+from .decontaminate import winnow
+from .words import Words, find_sorted, inside_text, ngram_hashes, word_slices
 
 GRAM, SPAN, REACH, MIN_COVERAGE, MIN_PRINTS = 3, 3, 3, 0.8, 0.3
 LEAST_WORDS = GRAM + SPAN - 1

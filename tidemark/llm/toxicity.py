@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowmap import map_texts
-from .decontaminate import find_sorted
-from .words import Words, buffers, mix64, slices
+from .words import Words, buffers, find_sorted, mix64, slices
 
 SAMPLE, FOLDS, MAX_FEATURES, LEAST_DOCS, LEAST_Z = 12_000, 3, 20_000, 3, 3.0
 
