@@ -6,6 +6,8 @@ import re
 
 import pyarrow as pa
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import chat as C
 from tidemark.llm import licenses as L
@@ -145,8 +147,6 @@ def test_licenses_awkward(spark, awkward, empty):
 
 def test_anchor_rule(spark):
     """The anchors by their definition, from Spark's own hashes of the runs."""
-    from pyspark.sql import functions as F
-
     r = random.Random(5)
     texts = [" ".join(r.choices(["a", "B", "cc", "d", "e", "f", "g"], k=r.choice([1, 2, 4, 5, 9, 40]))) for _ in range(60)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
@@ -202,6 +202,80 @@ def test_likeness(spark):
     assert all(0.4 < by[i].near_edited < 0.8 and by[i].near_next < 0.05 for i in range(30))
 
 
+def test_texts_without_spaces(spark):
+    """One character changed in the middle of Chinese, of code, or of a long run leaves most anchors; others are not alike."""
+    r = random.Random(23)
+    chinese = "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(520))
+    code = "".join(r.choice(["for", "x", "value", "i", "return", "f", "n"]) + r.choice(["(", ")", ";", "=", "+", "[", "]", "{", "}"]) for _ in range(200))
+    for text, other, new in ((chinese, chinese[::-1], "\u4e00"), (code, code[::-1], "?"), ("ab12" * 400, "cd34" * 400, "_")):
+        changed = text[:260] + new + text[261:]
+        row = spark.createDataFrame([(text, changed, other)], "a string, b string, c string").select(S.likeness(S.places(F.col("a")), S.places(F.col("b"))).alias("near"), S.likeness(S.places(F.col("a")), S.places(F.col("c"))).alias("far")).first()
+        assert 0.8 < row.near < 1 and row.far < 0.2
+
+
+def test_tokens(spark):
+    cut = "function(argument_one,2)"
+    texts = {"Hello, world... (ok) x!!!! a_b-c": ["hello,", "world...", "(ok)", "x!!!!", "a_b-c"], " \t\n": [], "日本 go。x": ["日本", "go。x"], "日本語日本語日本語 a": [*"日本語日本語日本語", "a"], "y" * 70: ["y" * 24, "y" * 24, "y" * 22], cut: [cut], cut + ";": ["function", "(", "argument_one", ",", "2", ")", ";"]}
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {x.i: x.w for x in df.select("i", S.tokens(F.col("t")).alias("w")).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
+def brute_places(text, three, one, two):
+    tokens = [t for w in (text or "").lower().split() for t in (PART.findall(w) if len(w.encode()) > S.LONGEST else [w])]
+    h = [0] * (S.K - 1) + [one(w) for w in tokens]
+    inner = [two(a, b) for a, b in zip(h, h[1:], strict=False)]
+    last = S.K - S.S
+    found = [(k, three(inner[k], inner[k + 2], h[k + 4])) for k in range(len(h) - S.K + 1) if min(inner[k : k + last + 1]) in (inner[k], inner[k + last])]
+    return found if found or not tokens else [(0, one(" ".join(tokens)) >> 32)]
+
+
+PART = re.compile(r"(?:[^\W\u4e00-\u9fff]){1,24}|\S")
+
+
+def xx(*parts):
+    """Spark's xxhash64 of texts or longs, one seeded by the one before; unsigned."""
+    seed = 42
+    for p in parts:
+        data = p.encode() if isinstance(p, str) else (p & (1 << 64) - 1).to_bytes(8, "little")
+        seed = xxhash.xxh64_intdigest(data, seed=seed)
+    return seed
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def test_compare_by_definition(spark):
+    """Fingerprint, places, edited text and likeness of whole rows against a plain version."""
+    r = random.Random(31)
+    words = ["w%d," % i if i % 5 == 0 else "w%d" % i for i in range(60)] + ["日本語", "f(x)", "É"]
+    texts = [(i, None if i == 7 else r.choice(["", " "]).join(r.choices(words, k=r.choice([0, 1, 3, 8, 60])))) for i in range(40)] + [(40, "same text here"), (41, "same text here")]
+    one, two, three = lambda w: signed(xx(w)), lambda a, b: signed(xx(a, b)), lambda a, b, c: xx(a, b, c) >> 32
+    expected = brute_edited(texts)
+
+    def alike(a, b):
+        number = lambda s: [(x, [y for _, y in s[:i]].count(x)) for i, (_, x) in enumerate(s)]
+        there = {x: i for i, x in enumerate(number(b))}
+        best = []
+        for x in number(a):
+            if x in there:
+                p = there[x]
+                best.append((1 + max((n for n, q in best if q < p), default=0), p))
+        m = max((n for n, _ in best), default=0)
+        return m / (len(a) + len(b) - m) if a or b else 1.0
+
+    out = {x.doc_id: x for x in S.compare(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, t in texts:
+        t, following = t or "", expected[i][2]
+        n = len(t) // 4
+        own, edited, nxt = (brute_places(x, three, one, two) for x in (t, t[: len(t) - n] + following[:n], following))
+        x = out[i]
+        assert x.fingerprint == "".join(f"{v & 0xFFFFFFFF:08x}" for _, v in own) and x.places == [k for k, _ in own]
+        assert x.edited_fingerprint == "".join(f"{v & 0xFFFFFFFF:08x}" for _, v in edited)
+        assert x.near_edited == pytest.approx(alike(own, edited)) and x.near_next == pytest.approx(alike(own, nxt))
+
+
 def test_all_anchors_of_long_texts_count(spark):
     """A passage added to a long text is in its fingerprint; reordered paragraphs are not the same text."""
     r = random.Random(15)

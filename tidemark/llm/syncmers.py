@@ -1,20 +1,23 @@
 """Document fingerprints of closed syncmers (operator 3), DataFrame functions only.
 
-The sequence is the text's white-space separated words, lower case, after ``K - 1``
-start marks.  A run of ``K`` words is an anchor (a closed syncmer) if the least
-hash of its inner runs of ``S`` words is that of the first or the last one.
-Whether a run is an anchor depends on its own words alone, so an edit moves no
+The sequence is the text's tokens, lower case, after ``K - 1`` start marks.  A token is
+a white-space separated word; a word of more than ``LONGEST`` bytes is cut into runs of at
+most as many letters, digits and underscores, single characters of scripts that write no
+spaces, and other single characters, so that texts without spaces, Chinese or code, have
+anchors all along.  A run of ``K`` tokens is an anchor (a closed
+syncmer) if the least hash of its inner runs of ``S`` tokens is that of the first or the
+last one.  Whether a run is an anchor depends on its own tokens alone, so an edit moves no
 anchor that it doesn't touch.  The fingerprint is the 32-bit hashes of all anchors of
 the text, repeats among them, in order of place, as hexadecimal digits; their places
-(the number of the run's last word) are a column of their own.
+(the number of the run's last token) are a column of their own.
 
 Likeness matches the anchors of two whole texts, the k-th occurrence of a hash with the
 k-th; of the matched ones it takes as many as come in the same order in both texts (the
 longest increasing subsequence), and divides by the anchors of both without these.
 
 Defined results: a null text is an empty text, with an empty fingerprint; two
-empty fingerprints have likeness 1; a text with words but without an anchor has
-the hash of all its words as its only anchor, at place 0.
+empty fingerprints have likeness 1; a text with tokens but without an anchor has
+the hash of all its tokens as its only anchor, at place 0.
 """
 
 from __future__ import annotations
@@ -25,12 +28,23 @@ from pyspark.sql import functions as F
 from .pseudonyms import let
 
 K, S, SIZE = 5, 2, None  # SIZE: all anchors are kept
+LONGEST = 24
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+PART = rf"[\p{{L}}\p{{M}}\p{{N}}_&&[^{_UNSPACED}]]{{1,{LONGEST}}}+|\S"
 BUCKET_ROWS, COARSE = 1000, 32
 
 
+def tokens(text: Column) -> Column:
+    """Array of the text's tokens."""
+    long = lambda w: F.octet_length(w) > LONGEST
+    cut = lambda w: F.when(long(w), F.regexp_extract_all(w, F.lit(PART), F.lit(0))).otherwise(F.array(w))
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    return let(words, lambda ws: F.when(F.exists(ws, long), F.flatten(F.transform(ws, cut))).otherwise(ws))
+
+
 def places(text: Column) -> Column:
     """Array of (at, anchor): all anchors of the text in order of place; hashes are 0 .. 2^32 - 1."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    words = tokens(text)
     one = lambda at, anchor: F.struct(at.cast("int").alias("at"), anchor.alias("anchor"))
 
     def of_words(w: Column) -> Column:
@@ -109,7 +123,8 @@ def likeness(a: Column, b: Column) -> Column:
         return let(F.sort_array(F.filter(F.transform(s, pair), lambda p: p.isNotNull())), _in_order)
 
     matched = let(F.sort_array(F.concat(_numbered(a, 0), _numbered(b, 1))), of_both)
-    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(let(matched, lambda m: m / (F.size(a) + F.size(b) - m)))
+    none = ~F.arrays_overlap(a["anchor"], b["anchor"])
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).when(none, F.lit(0.0)).otherwise(let(matched, lambda m: m / (F.size(a) + F.size(b) - m)))
 
 
 def add_fingerprint(docs: DataFrame, *, text: str = "text", sketch: str = "sketch") -> DataFrame:
