@@ -39,9 +39,9 @@ from .words import buffers
 ORDER = 5
 FOLDS = 2
 QUANTILE = 0.995
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 BITMAP_BITS = 1 << 24
-_CHUNK, _MOST_COUNTED, _PACKED = 1 << 20, 1 << 21, 32 << 20
+_CHUNK, _MOST_COUNTED, _PACKED = 1 << 20, 1 << 19, 12 << 20
 _CODEC = pa.Codec("zstd", 3)
 
 

@@ -11,8 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Rows that a Python worker takes at once, at most: of long texts, some megabytes.
+BATCH_ROWS = 2000
+
+
 def workers_import(spark: SparkSession) -> None:
-    """Let Python workers find this package where the driver found it (a path entry, no copy)."""
+    """Let Python workers find this package where the driver found it (a path entry, no copy), and take batches of bounded size."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:
