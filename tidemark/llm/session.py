@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 import tempfile
@@ -13,14 +14,18 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 #: Rows that a Python worker takes at once, at most: of long texts, some megabytes.
 BATCH_ROWS = 2000
+#: Python workers give large buffers back to the system when they are done with them: workers outlive their tasks.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "4194304"}
 
 
 def workers_import(spark: SparkSession) -> None:
-    """Let Python workers find this package where the driver found it (a path entry, no copy), and take batches of bounded size."""
+    """Let Python workers find this package where the driver found it (a path entry, no copy), take batches of bounded size and not keep freed memory."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
     env = spark.sparkContext.environment
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
@@ -42,9 +47,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    Spark removes the shuffle files of a cut lineage once nothing on the driver refers to it and the JVM has collected its
+    garbage, which a driver that does little would put off for half an hour.  Both collectors, Python's for the frames'
+    cycles, are asked to work here, so that the disks hold what is still needed.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return done
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
