@@ -40,6 +40,7 @@ ORDER = 5
 FOLDS = 2
 QUANTILE = 0.995
 BLOCK_BYTES = 32 << 20
+COUNTED_BYTES = 4 << 20
 BITMAP_BITS = 1 << 24
 _CHUNK, _MOST_COUNTED, _PACKED = 1 << 20, 1 << 19, 12 << 20
 _CODEC = pa.Codec("zstd", 3)
@@ -112,6 +113,8 @@ def smoothed(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     for n in range(ORDER, 0, -1):
         grams = level.withColumn("n", F.lit(n)) if grams is None else grams.unionByName(level.withColumn("n", F.lit(n)))
         level = level.groupBy("fold", _suffix(n - 1).alias("g")).agg(F.count("*").alias("c"))
+    # a union has the partitions of all its parts: as many as any other stage will do
+    grams = grams.coalesce(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     times = lambda k: F.sum((F.col("c") == k).cast("double"))
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
 
@@ -163,13 +166,13 @@ def other_folds(trusted: DataFrame) -> DataFrame:
     return trusted.select(F.explode(F.array(*(F.when(F.col("fold") != k, F.lit(k)) for k in range(FOLDS)))).alias("fold_"), "text").where("fold_ is not null").select(F.col("fold_").alias("fold"), "text")
 
 
-def score(docs: DataFrame, model: tuple[DataFrame, DataFrame], *, keep: Sequence[str] = ("doc_id", "lang"), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, model: tuple[DataFrame, DataFrame], *, keep: Sequence[str] = ("doc_id", "lang"), block_bytes: int = BLOCK_BYTES, total: int | None = None) -> DataFrame:
     """``keep`` columns, ``n_bytes`` and ``log_perplexity`` (null for an empty text) of documents with a column text.
 
-    ``model`` is that of a fold's own number: the one which scores it.
+    ``model`` is that of a fold's own number: the one which scores it; ``total`` is the documents' number of bytes, if known.
     """
     workers_import(docs.sparkSession)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = _bytes(docs) if total is None else total
     blocks = max(1, -(-total // (FOLDS * block_bytes)))
     spread = F.pmod(F.xxhash64(*keep, "text", F.lit("block")), F.lit(blocks)).cast("int")
     dealt = docs.select((spread * FOLDS + fold_of("text")).alias("block"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.coalesce("text", F.lit("")).alias("text"))
@@ -212,6 +215,10 @@ def score(docs: DataFrame, model: tuple[DataFrame, DataFrame], *, keep: Sequence
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(look_up, schema)
 
 
+def _bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def _distinct_grams(docs: DataFrame) -> DataFrame:
     """(fold, g) of the documents, each once."""
 
@@ -322,8 +329,10 @@ def classify(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id:
 def _judged(source: DataFrame, labels: DataFrame, quantile: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents (doc_id, lang, text) with key (a hash of the text), n_bytes, log_perplexity, threshold and accepted; without texts."""
     good = cut(trusted_ids(labels))
-    model = train(other_folds(trusted_texts(source, good)))
-    scored = cut(score(source.withColumn("key", F.xxhash64("text")), model, keep=("doc_id", "lang", "key"), block_bytes=block_bytes))
+    total = _bytes(source)
+    # tasks over very little text would emit most n-grams that they meet anew
+    model = train(other_folds(trusted_texts(source, good)).coalesce(max(1, -(-total // COUNTED_BYTES))))
+    scored = cut(score(source.withColumn("key", F.xxhash64("text")), model, keep=("doc_id", "lang", "key"), block_bytes=block_bytes, total=total))
     trusted = scored.where("log_perplexity is not null").join(good.withColumnRenamed("id", "__id"), F.col("doc_id").cast("string") == F.col("__id"), "left_semi")
     limits = trusted.groupBy(F.col("lang").alias("of_lang")).agg(F.percentile_approx("log_perplexity", quantile, 10000).alias("threshold"))
     out = scored.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")), "left").drop("of_lang")
