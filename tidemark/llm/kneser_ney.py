@@ -6,10 +6,11 @@ other folds' trusted texts, whether it is trusted itself or not: all trusted tex
 counts that it (or an exact copy) is part of, and the limits hold for texts that no label has seen.
 
 Nothing that grows with the corpus is held in one place.  Each task counts its texts' n-grams and emits the ones it
-met; the counts are summed by n-gram.  The lower orders' continuation counts, the contexts' totals and the
-probabilities are DataFrame aggregates and joins on the n-grams (an n-gram is an integer of ``ORDER`` bytes; its low
-bytes are its suffix, its high bytes its context).  The documents are dealt out once in blocks of about
-``BLOCK_BYTES``.  A block asks for the n-grams that occur in it, each once, joined to their probabilities by n-gram,
+met; the counts are summed by n-gram (an integer of ``ORDER`` bytes; its low bytes are its suffix, its high bytes its
+context).  The orders over two share the two bytes before the last, so n-grams dealt out by these have all that their
+continuation counts, contexts' totals and probabilities need: the n-grams asked for are joined to the counts there, in
+one exchange for all orders.  The two lowest orders are 2 ** 16 numbers a fold.  The documents are dealt out once in
+blocks of about ``BLOCK_BYTES``.  A block asks for the n-grams that occur in it, each once, joined to their probabilities by n-gram,
 and the answers come back to the block, where they are looked up byte by byte.
 
 A document is rejected if its perplexity (per byte) lies over the ``QUANTILE`` of the perplexities of the trusted
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -101,60 +103,112 @@ def count_grams(texts: DataFrame) -> DataFrame:
     return texts.select("fold", "text").mapInArrow(run, "fold int, g bigint, c bigint").groupBy("fold", "g").agg(F.sum("c").alias("c"))
 
 
-def _suffix(n: int):
-    """The last n bytes of an n-gram."""
-    return F.col("g").bitwiseAND((1 << (8 * n)) - 1)
-
-
-def smoothed(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of each fold's counts, ((fold, n, g, base), (fold, n, ctx, gamma)): an n-gram's discounted share of its context's
-    count, and the context's weight for the lower order."""
-    grams, level = None, counts.select("fold", "g", "c")
-    for n in range(ORDER, 0, -1):
-        grams = level.withColumn("n", F.lit(n)) if grams is None else grams.unionByName(level.withColumn("n", F.lit(n)))
-        level = level.groupBy("fold", _suffix(n - 1).alias("g")).agg(F.count("*").alias("c"))
-    # a union has the partitions of all its parts: as many as any other stage will do
-    grams = grams.coalesce(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    times = lambda k: F.sum((F.col("c") == k).cast("double"))
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-
-    def discount(k: int):
-        formula = F.when((F.col(f"n{k}") > 0) & (F.col("n1") > 0), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"))
-        return F.greatest(F.lit(0.0), F.least(F.lit(float(k)), F.coalesce(formula, F.lit(k / 2)))).alias(f"d{k}")
-
-    d = grams.groupBy("fold", "n").agg(*(times(k).alias(f"n{k}") for k in range(1, 5)))
-    d = F.broadcast(d.select("fold", "n", *(discount(k) for k in (1, 2, 3))))  # FOLDS * ORDER rows
-    ctx = F.shiftright("g", 8).alias("ctx")
-    contexts = grams.groupBy("fold", "n", ctx).agg(F.sum("c").alias("total"), times(1).alias("t1"), times(2).alias("t2"), F.sum((F.col("c") > 2).cast("double")).alias("t3"))
-    gamma = (F.col("d1") * F.col("t1") + F.col("d2") * F.col("t2") + F.col("d3") * F.col("t3")) / F.col("total")
-    weighted = cut(contexts.join(d, ["fold", "n"]).select("fold", "n", "ctx", "total", gamma.alias("gamma")))
-    less = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    bases = grams.select("fold", "n", "g", "c", ctx).join(weighted.drop("gamma"), ["fold", "n", "ctx"]).join(d, ["fold", "n"])
-    return cut(bases.select("fold", "n", "g", ((F.col("c") - less) / F.col("total")).alias("base"))), weighted.drop("total")
-
-
-def probabilities(asked: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """(fold, g, p): the probability of the last byte of each n-gram (fold, g) after the others; order by order, by joins."""
-    bases, gammas = model
-    levels = {ORDER: asked.select("fold", "g")}
-    for n in range(ORDER - 1, 0, -1):
-        levels[n] = levels[n + 1].select("fold", _suffix(n).alias("g")).distinct()
-    known = None
-    for n in range(1, ORDER + 1):
-        base = bases.where(F.col("n") == n).select("fold", "g", "base")
-        gamma = gammas.where(F.col("n") == n).select("fold", "ctx", "gamma")
-        rows = levels[n].join(base, ["fold", "g"], "left").withColumn("ctx", F.shiftright("g", 8)).join(gamma, ["fold", "ctx"], "left")
-        if known is None:
-            rows = rows.withColumn("lower", F.lit(1 / 256))
-        else:
-            rows = rows.withColumn("below", _suffix(n - 1)).join(known.select("fold", F.col("g").alias("below"), F.col("p").alias("lower")), ["fold", "below"])
-        known = rows.select("fold", "g", (F.coalesce("base", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("lower")).alias("p"))
-    return known
-
-
-def train(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The models of all trusted texts (fold, text), one for each fold; as :func:`smoothed`."""
-    return smoothed(cut(count_grams(trusted)))
+class Model(NamedTuple):
+    """Models of all folds: ``counts`` (fold, g, c) of the highest order; ``discounts[fold, n, k]`` of an n-gram with count k (3 stands
+    for more); ``pairs[fold, g]``, the probability of a pair's last byte after the other; ``buckets``, of how many the n-grams are dealt to."""
+
+    counts: DataFrame
+    discounts: np.ndarray
+    pairs: np.ndarray
+    buckets: int
+
+
+def _by_context(grams: DataFrame, buckets: int):
+    """Groups of n-grams (fold, g) that agree in the two bytes before the last: a bucket has all that share a context of two bytes
+    or more, or a suffix of three or more.  One such context has 256 ** (ORDER - 2) n-grams at most, whatever the corpus."""
+    near = F.shiftright("g", 8).bitwiseAND((1 << 16) - 1)
+    return grams.withColumn("bucket", F.pmod(F.xxhash64(near), F.lit(buckets)).cast("int")).groupBy("fold", "bucket")
+
+
+def _levels(counts: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, n-grams in order, counts) of a bucket, for each order down to three: counts as they are, continuation counts below."""
+    grams, times = counts.column("g").to_numpy(), counts.column("c").to_numpy()
+    order = np.argsort(grams)
+    grams, times = grams[order], times[order]
+    for n in range(ORDER, 2, -1):
+        yield n, grams, times
+        grams, times = np.unique(grams & ((1 << (8 * (n - 1))) - 1), return_counts=True)
+
+
+def _discounts(times_of: np.ndarray) -> np.ndarray:
+    """By count (0 to 3, and 3 for more), of the numbers of n-grams with counts 1 to 4."""
+    out = np.array([0.0, 0.5, 1.0, 1.5])
+    if times_of[0] > 0:
+        y = times_of[0] / (times_of[0] + 2 * times_of[1])
+        for k in (1, 2, 3):
+            if times_of[k - 1] > 0:
+                out[k] = min(max(k - (k + 1) * y * times_of[k] / times_of[k - 1], 0.0), k)
+    return out
+
+
+def smoothed(counts: DataFrame, buckets: int) -> Model:
+    """Discounts and pairs' probabilities of each fold's counts.
+
+    What comes to the driver is bounded by the alphabet: 2 ** 16 continuation counts of pairs and four numbers an order, by fold.
+    """
+    workers_import(counts.sparkSession)
+
+    def run(rows: pa.Table) -> pa.Table:
+        order, key, value = [], [], []
+        for n, grams, times in _levels(rows):
+            order.append(np.full(4, n)), key.append(np.arange(1, 5)), value.append(np.bincount(np.minimum(times, 5), minlength=6)[1:5])
+        pairs, times = np.unique(grams & 0xFFFF, return_counts=True)
+        order.append(np.full(len(pairs), 2)), key.append(pairs), value.append(times)
+        n = sum(map(len, key))
+        return pa.table({"fold": pa.array(np.full(n, rows.column("fold")[0].as_py(), np.int32)), "n": pa.array(np.concatenate(order).astype(np.int32)), "key": pa.array(np.concatenate(key).astype(np.int64)), "value": pa.array(np.concatenate(value).astype(np.int64))})
+
+    met = _by_context(counts, buckets).applyInArrow(run, "fold int, n int, key bigint, value bigint").groupBy("fold", "n", "key").agg(F.sum("value").alias("value")).toArrow()
+    fold, n, key, value = (met.column(c).to_numpy() for c in ("fold", "n", "key", "value"))
+    discounts, pairs = np.zeros((FOLDS, ORDER + 1, 4)), np.zeros((FOLDS, 1 << 16))
+    for k in range(FOLDS):
+        for order in range(3, ORDER + 1):
+            of = np.zeros(6)
+            of[key[(fold == k) & (n == order)]] = value[(fold == k) & (n == order)]
+            discounts[k, order] = _discounts(of[1:])
+        after = np.zeros(1 << 16, np.int64)
+        after[key[(fold == k) & (n == 2)]] = value[(fold == k) & (n == 2)]
+        after = after.reshape(256, 256)  # pairs' first bytes are contexts
+        lower = np.full(256, 1 / 256)
+        for times in ((after > 0).sum(axis=0)[None, :], after):
+            less = _discounts(np.bincount(np.minimum(times, 5).ravel(), minlength=6)[1:5])[np.minimum(times, 3)]
+            total = times.sum(axis=1, keepdims=True)
+            lower = np.where(total > 0, (times - less + less.sum(axis=1, keepdims=True) * lower) / np.maximum(total, 1), lower)
+        pairs[k] = np.broadcast_to(lower, (256, 256)).ravel()
+    return Model(counts, discounts, pairs, buckets)
+
+
+def probabilities(asked: DataFrame, model: Model) -> DataFrame:
+    """(fold, g, p): the probability of the last byte of each n-gram (fold, g), given once, after the others.
+
+    The n-grams asked for meet the counts in the bucket of their contexts; there a bucket's orders are summed up and interpolated.
+    """
+    spark = asked.sparkSession
+    workers_import(spark)
+    shared = spark.sparkContext.broadcast((model.discounts, model.pairs))
+
+    def run(counts: pa.Table, asked: pa.Table) -> pa.Table:
+        want = asked.column("g").to_numpy()
+        p = np.zeros(0)
+        if len(want):
+            fold = asked.column("fold")[0].as_py()
+            p = shared.value[1][fold, want & 0xFFFF]
+            for n, grams, times in reversed(list(_levels(counts))) if counts.num_rows else ():
+                less = shared.value[0][fold, n][np.minimum(times, 3)]
+                starts = np.flatnonzero(np.append(True, np.diff(grams >> 8) != 0))
+                contexts, total = grams[starts] >> 8, np.add.reduceat(times, starts)
+                weight = np.add.reduceat(less, starts)
+                gram = want & ((1 << (8 * n)) - 1)
+                i, j = np.searchsorted(grams[:-1], gram), np.searchsorted(contexts[:-1], gram >> 8)
+                own = np.where(grams[i] == gram, times[i] - less[i], 0.0)
+                p = np.where(contexts[j] == gram >> 8, (own + weight[j] * p) / total[j], p)
+        return pa.table({"fold": asked.column("fold"), "g": asked.column("g"), "p": pa.array(p, pa.float64())})
+
+    return _by_context(model.counts, model.buckets).cogroup(_by_context(asked.select("fold", "g"), model.buckets)).applyInArrow(run, "fold int, g bigint, p double")
+
+
+def train(trusted: DataFrame, buckets: int = 1) -> Model:
+    """The models of all trusted texts (fold, text), one for each fold."""
+    return smoothed(cut(count_grams(trusted)), buckets)
 
 
 def fold_of(text: str):
@@ -166,7 +220,7 @@ def other_folds(trusted: DataFrame) -> DataFrame:
     return trusted.select(F.explode(F.array(*(F.when(F.col("fold") != k, F.lit(k)) for k in range(FOLDS)))).alias("fold_"), "text").where("fold_ is not null").select(F.col("fold_").alias("fold"), "text")
 
 
-def score(docs: DataFrame, model: tuple[DataFrame, DataFrame], *, keep: Sequence[str] = ("doc_id", "lang"), block_bytes: int = BLOCK_BYTES, total: int | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, *, keep: Sequence[str] = ("doc_id", "lang"), block_bytes: int = BLOCK_BYTES, total: int | None = None) -> DataFrame:
     """``keep`` columns, ``n_bytes`` and ``log_perplexity`` (null for an empty text) of documents with a column text.
 
     ``model`` is that of a fold's own number: the one which scores it; ``total`` is the documents' number of bytes, if known.
@@ -188,7 +242,7 @@ def score(docs: DataFrame, model: tuple[DataFrame, DataFrame], *, keep: Sequence
         return pa.table({"block": pa.array(np.full(len(used), block, np.int32)), "fold": pa.array(np.full(len(used), block % FOLDS, np.int32)), "g": pa.array(used)})
 
     # the n-grams of all documents, each once, by a pass of its own: it shuffles no text
-    known = cut(probabilities(cut(_distinct_grams(docs)), model).select("fold", "g", F.log(F.greatest("p", F.lit(1e-12))).cast("float").alias("logp")))
+    known = cut(probabilities(_distinct_grams(docs), model).select("fold", "g", F.log(F.greatest("p", F.lit(1e-12))).cast("float").alias("logp")))
     # one exchange of the packed documents serves both who ask and who look up
     pairs = packed.groupBy("block").applyInArrow(ask, "block int, fold int, g bigint")
     answers = pairs.hint("merge").join(known, ["fold", "g"]).select("block", "g", "logp")
@@ -331,7 +385,8 @@ def _judged(source: DataFrame, labels: DataFrame, quantile: float, block_bytes:
     good = cut(trusted_ids(labels))
     total = _bytes(source)
     # tasks over very little text would emit most n-grams that they meet anew
-    model = train(other_folds(trusted_texts(source, good)).coalesce(max(1, -(-total // COUNTED_BYTES))))
+    parts = max(1, -(-total // COUNTED_BYTES))
+    model = train(other_folds(trusted_texts(source, good)).coalesce(parts), parts)
     scored = cut(score(source.withColumn("key", F.xxhash64("text")), model, keep=("doc_id", "lang", "key"), block_bytes=block_bytes, total=total))
     trusted = scored.where("log_perplexity is not null").join(good.withColumnRenamed("id", "__id"), F.col("doc_id").cast("string") == F.col("__id"), "left_semi")
     limits = trusted.groupBy(F.col("lang").alias("of_lang")).agg(F.percentile_approx("log_perplexity", quantile, 10000).alias("threshold"))
