@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .session import cut, workers_import
+from .session import cut, drop_written, workers_import, written
 from .words import buffers
 
 ORDER = 5
@@ -206,9 +206,9 @@ def probabilities(asked: DataFrame, model: Model) -> DataFrame:
     return _by_context(model.counts, model.buckets).cogroup(_by_context(asked.select("fold", "g"), model.buckets)).applyInArrow(run, "fold int, g bigint, p double")
 
 
-def train(trusted: DataFrame, buckets: int = 1) -> Model:
-    """The models of all trusted texts (fold, text), one for each fold."""
-    return smoothed(cut(count_grams(trusted)), buckets)
+def train(trusted: DataFrame, buckets: int = 1, made: list[str] | None = None) -> Model:
+    """The models of all trusted texts (fold, text), one for each fold; ``made`` as in :func:`written`."""
+    return smoothed(written(count_grams(trusted), made), buckets)
 
 
 def fold_of(text: str):
@@ -220,10 +220,10 @@ def other_folds(trusted: DataFrame) -> DataFrame:
     return trusted.select(F.explode(F.array(*(F.when(F.col("fold") != k, F.lit(k)) for k in range(FOLDS)))).alias("fold_"), "text").where("fold_ is not null").select(F.col("fold_").alias("fold"), "text")
 
 
-def score(docs: DataFrame, model: Model, *, keep: Sequence[str] = ("doc_id", "lang"), block_bytes: int = BLOCK_BYTES, total: int | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, *, keep: Sequence[str] = ("doc_id", "lang"), block_bytes: int = BLOCK_BYTES, total: int | None = None, made: list[str] | None = None) -> DataFrame:
     """``keep`` columns, ``n_bytes`` and ``log_perplexity`` (null for an empty text) of documents with a column text.
 
-    ``model`` is that of a fold's own number: the one which scores it; ``total`` is the documents' number of bytes, if known.
+    ``model`` is that of a fold's own number: the one which scores it; ``total`` is the documents' number of bytes, if known; ``made`` as in :func:`written`.
     """
     workers_import(docs.sparkSession)
     total = _bytes(docs) if total is None else total
@@ -242,7 +242,7 @@ def score(docs: DataFrame, model: Model, *, keep: Sequence[str] = ("doc_id", "la
         return pa.table({"block": pa.array(np.full(len(used), block, np.int32)), "fold": pa.array(np.full(len(used), block % FOLDS, np.int32)), "g": pa.array(used)})
 
     # the n-grams of all documents, each once, by a pass of its own: it shuffles no text
-    known = cut(probabilities(_distinct_grams(docs), model).select("fold", "g", F.log(F.greatest("p", F.lit(1e-12))).cast("float").alias("logp")))
+    known = written(probabilities(_distinct_grams(docs), model).select("fold", "g", F.log(F.greatest("p", F.lit(1e-12))).cast("float").alias("logp")), made)
     # one exchange of the packed documents serves both who ask and who look up
     pairs = packed.groupBy("block").applyInArrow(ask, "block int, fold int, g bigint")
     answers = pairs.hint("merge").join(known, ["fold", "g"]).select("block", "g", "logp")
@@ -386,8 +386,10 @@ def _judged(source: DataFrame, labels: DataFrame, quantile: float, block_bytes:
     total = _bytes(source)
     # tasks over very little text would emit most n-grams that they meet anew
     parts = max(1, -(-total // COUNTED_BYTES))
-    model = train(other_folds(trusted_texts(source, good)).coalesce(parts), parts)
-    scored = cut(score(source.withColumn("key", F.xxhash64("text")), model, keep=("doc_id", "lang", "key"), block_bytes=block_bytes, total=total))
+    made: list[str] = []
+    model = train(other_folds(trusted_texts(source, good)).coalesce(parts), parts, made)
+    scored = cut(score(source.withColumn("key", F.xxhash64("text")), model, keep=("doc_id", "lang", "key"), block_bytes=block_bytes, total=total, made=made))
+    drop_written(source.sparkSession, made)
     trusted = scored.where("log_perplexity is not null").join(good.withColumnRenamed("id", "__id"), F.col("doc_id").cast("string") == F.col("__id"), "left_semi")
     limits = trusted.groupBy(F.col("lang").alias("of_lang")).agg(F.percentile_approx("log_perplexity", quantile, 10000).alias("threshold"))
     out = scored.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")), "left").drop("of_lang")

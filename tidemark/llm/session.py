@@ -6,6 +6,7 @@ import gc
 import os
 import sys
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,13 +54,41 @@ def cut(df: DataFrame) -> DataFrame:
     garbage, which a driver that does little would put off for half an hour.  Both collectors, Python's for the frames'
     cycles, are asked to work here, so that the disks hold what is still needed.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     done = df.checkpoint(eager=True)
+    del df  # its plan refers to the shuffle files
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
     return done
 
 
+def written(df: DataFrame, made: list[str] | None = None) -> DataFrame:
+    """Cut the lineage with a compressed table in the shared folder, for many narrow rows: a checkpoint's rows are not compressed.
+
+    The table's path is added to ``made``, for :func:`drop_written`; nothing else removes it.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if made is not None:
+        made.append(path)
+    done = spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return done
+
+
+def drop_written(spark: SparkSession, made: list[str]) -> None:
+    """Delete tables of :func:`written` that nothing will read again."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while made:
+        path = jvm.org.apache.hadoop.fs.Path(made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
